@@ -42,3 +42,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(id_column: str, divisor: int, remainder: int):
     """Column: crc32 of the id as text leaves this remainder; an id of null counts as held out by no rule (false)."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % divisor == remainder, F.lit(False))
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bound what one Arrow batch holds, so that very long texts do not add up in a Python worker. A smaller setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    except Exception:  # a version without that setting
+        pass
