@@ -52,3 +52,16 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     except Exception:  # a version without that setting
         pass
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, rows: int, seed: int = 1) -> DataFrame:
+    """Documents with their 0/1 ``label``: about ``rows`` of the labelled ones outside the held-out ids, chosen by a seeded hash of the id.
+
+    The share kept is rows / labelled rows, so the sampled labels, which are broadcast, number about ``rows`` whatever
+    the size of the table. Several labels of one id count as their maximum; rows with a null id or label are left out.
+    """
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out("doc_id", divisor, remainder))
+    labels = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    share = min(1.0, rows / max(1, labels.count()))
+    labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("doc_id").alias("_id"), "_label")
+    return docs.join(F.broadcast(labels), F.col("doc_id") == F.col("_id")).drop("_id")

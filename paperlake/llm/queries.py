@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import decontam, linededup, mixing, urlrules, winnow
-from paperlake.llm.common import read
+from paperlake.llm import decontam, langid, linededup, mixing, quality, toxicity, urlrules, winnow
+from paperlake.llm.common import held_out, read
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+THRESHOLD = 0.3
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 3, 1))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +38,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    net = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.predict(docs, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op7_toxicity, op8_quality, op10_line_dedup)}
 
 ORACLE = {
     "op2_url_filters": r"""
