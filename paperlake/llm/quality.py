@@ -22,7 +22,7 @@ SAMPLE_ROWS = 4000
 CHUNKS_PER_ROW = 4
 WIDTH, BLOCK = 8, 256
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+EPOCHS, BATCH, RATE = 9, 64, 0.004
 SLAB = 64 * BLOCK
 
 
@@ -43,7 +43,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.p = {
             "e": rng.normal(0, 0.5, (256, EMBEDDING)), "w": rng.normal(0, 0.25, (WIDTH, EMBEDDING, FILTERS)), "b": np.zeros(FILTERS),
-            "h": rng.normal(0, 0.3, (FILTERS, HIDDEN)), "hb": np.zeros(HIDDEN), "o": rng.normal(0, 0.3, HIDDEN), "ob": np.array(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))),
+            "h": rng.normal(0, 0.3, (FILTERS + 1, HIDDEN)), "hb": np.zeros(HIDDEN), "o": rng.normal(0, 0.3, HIDDEN), "ob": np.array(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))),
         }
         self.p["e"][0] = 0
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -57,8 +57,9 @@ class Network:
         at = conv.argmax(axis=1)
         return np.take_along_axis(conv, at[:, None], axis=1)[:, 0], at
 
-    def _head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = np.maximum(pooled, 0)
+    def _head(self, pooled: np.ndarray, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``fill``: the share of the chunk that the document fills; a short one has lower maxima for no fault of its own."""
+        a = np.concatenate([np.maximum(pooled, 0), fill[:, None].astype(np.float32)], axis=1)
         h = np.maximum(a @ self.p["h"] + self.p["hb"], 0)
         return a, h, h @ self.p["o"] + self.p["ob"]
 
@@ -73,12 +74,12 @@ class Network:
                 rows = order[i : i + BATCH]
                 xb, yb = x[rows], y[rows]
                 pooled, at = self._pool(xb)
-                a, h, z = self._head(pooled)
+                a, h, z = self._head(pooled, np.minimum(1, (xb > 0).sum(axis=1) / (2 * BLOCK)))
                 dz = (1 / (1 + np.exp(-z)) - yb) / len(rows)
                 g = {"o": h.T @ dz, "ob": dz.sum()}
                 dh = dz[:, None] * self.p["o"] * (h > 0)
                 g |= {"h": a.T @ dh, "hb": dh.sum(axis=0)}
-                da = dh @ self.p["h"].T * (pooled > 0)
+                da = (dh @ self.p["h"].T)[:, :FILTERS] * (pooled > 0)
                 g["b"] = da.sum(axis=0)
                 seen = xb[np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
                 emb = self.p["e"][seen]
@@ -119,11 +120,12 @@ class Network:
         inner = np.ones(len(blocks), dtype=bool)
         inner[first + n - 1] = False  # a chunk is a block and the next one of the same document
         at = np.flatnonzero(inner)
-        _, _, z = self._head(np.maximum(blocks[at], blocks[at + 1]) + self.p["b"])
+        left = np.repeat([len(t) for t in texts], n) - (np.arange(len(blocks)) - np.repeat(first, n)) * BLOCK  # bytes from here to the end
+        _, _, z = self._head(np.maximum(blocks[at], blocks[at + 1]) + self.p["b"], np.clip(left[at] / (2 * BLOCK), 0, 1))
         return 1 / (1 + np.exp(-(np.add.reduceat(z, first - np.arange(len(n))) / (n - 1)).astype(np.float64)))
 
 
-def with_fragments(x: np.ndarray, y: np.ndarray, share: float = 0.4, longest: int = 80, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def with_fragments(x: np.ndarray, y: np.ndarray, share: float = 0.3, longest: int = 80, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Chunks and, for a share of them, a copy cut off after 1 to ``longest`` bytes, so that being short is no sign of either label."""
     rng = np.random.default_rng(seed)
     short = x[rng.random(len(x)) < share].copy()
