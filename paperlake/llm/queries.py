@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import decontam, langid, linededup, mixing, quality, toxicity, urlrules, winnow
+from paperlake.llm import decontam, langid, linededup, minhash, mixing, quality, toxicity, urlrules, winnow
 from paperlake.llm.common import held_out, read
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -50,12 +50,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op7_toxicity, op8_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op7_toxicity, op8_quality, op9_near_duplicates, op10_line_dedup)}
 
 ORACLE = {
     "op2_url_filters": r"""
@@ -78,6 +82,19 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+hashed AS (SELECT doc_id, hash(s) AS h FROM s),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM hashed x JOIN hashed y USING (h) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS id, doc_id AS to_ FROM n UNION SELECT r.id, b FROM reach r JOIN both_ways ON r.to_ = a),
+c AS (SELECT id, min(to_) AS component_id FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = w.doc_id
 """,
     "op10_line_dedup": r"""
 WITH pages_ AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
