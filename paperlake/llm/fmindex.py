@@ -5,17 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of the suffixes of ``text`` by prefix doubling.
-
-    With ``depth``, suffixes that agree on that many symbols may stay in any order among themselves. Suffixes whose place
-    is settled are left out of later rounds.
-    """
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``text`` by prefix doubling; suffixes whose place is settled are left out of later rounds."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
+    order = np.argsort(text, kind="stable").astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
 
     def heads(keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), dtype=bool)
@@ -23,15 +19,16 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         return out
 
     new = heads(text[order])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # places whose suffix shares its rank
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)  # places whose suffix shares its rank
     h = 1
-    while len(open_) and (depth is None or h < depth):
+    while len(open_):
         at = order[open_]
-        nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + nxt
+        key = rank[at].astype(np.int64) * (n + 1)
+        key += np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
         by = np.argsort(key, kind="stable")
         key, at = key[by], at[by]
+        del by
         order[open_] = at
         new = heads(key)
         rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
@@ -87,6 +84,7 @@ class FMIndex:
         self.n, self.sample = len(text), sample
         self.wavelet = WaveletMatrix(bwt, max(1, int(top + 1).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 2))])
+        order = order.astype(np.int64)
         marked = order % sample == 0
         self.marks = np.concatenate([[0], np.cumsum(marked)])
         self.positions = order[marked]

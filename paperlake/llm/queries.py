@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import decontam, langid, linededup, minhash, mixing, quality, toxicity, urlrules, winnow
+from paperlake.llm import decontam, langid, linededup, minhash, mixing, quality, rlbwt, toxicity, urlrules, winnow
 from paperlake.llm.common import held_out, read
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlbwt.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -59,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op7_toxicity, op8_quality, op9_near_duplicates, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_decontamination, op4_fingerprints, op5_mixing, op6_repeats, op7_toxicity, op8_quality, op9_near_duplicates, op10_line_dedup)}
 
 ORACLE = {
     "op2_url_filters": r"""
