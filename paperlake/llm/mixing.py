@@ -41,9 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
     df = df.withColumn("cap", (F.col("source_size") * repeats).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
     df = df.withColumn("all_size", F.sum("source_size").over(everything).cast("double")).withColumn("all_weight", F.sum("weight").over(everything))
     capped, used = F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.sum("weight").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("level", (F.col("all_size") - F.coalesce(capped, F.lit(0.0))) / (F.col("all_weight") - F.coalesce(used, F.lit(0.0))))
+    df = df.withColumn("place", F.row_number().over(by_ratio)).withColumn("level", (F.col("all_size") - F.coalesce(capped, F.lit(0.0))) / (F.col("all_weight") - F.coalesce(used, F.lit(0.0))))
     # the level if all before this source are capped and neither it nor a later one is; the true one is the first that this source's ratio is not below
-    df = df.withColumn("x", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything))
+    df = df.withColumn("x", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything))
     return df.select("source", "source_size", F.when(F.col("x").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("x.level"))).alias("target"))
 
 

@@ -108,12 +108,15 @@ class Network:
         buffer = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes, strict=True)) + bytes(WIDTH), dtype=np.uint8)
         pairs = buffer[:-1].astype(np.uint16) << 8 | buffer[1:]
         total = int(sizes.sum())
+        across = np.sort((np.cumsum(sizes)[:, None] - np.arange(1, WIDTH)).ravel())  # windows that would reach into the next document; of their own they see zeros
         blocks = np.empty((total // BLOCK, FILTERS), dtype=np.float32)
         for s in range(0, total, SLAB):
             e = min(total, s + SLAB)
             acc = tables[0][pairs[s:e]]
             for j in range(1, WIDTH // 2):
                 acc += tables[j][pairs[s + 2 * j : e + 2 * j]]
+            low, high = np.searchsorted(across, (s, e))
+            acc[across[low:high] - s] = 0
             blocks[s // BLOCK : e // BLOCK] = acc.reshape(-1, BLOCK, FILTERS).max(axis=1)
         n = sizes // BLOCK
         first = np.cumsum(n) - n

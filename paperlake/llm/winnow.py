@@ -52,8 +52,8 @@ def with_next(df: DataFrame, id_column: str, columns: list[str], per_bucket: int
     """``df`` with ``next_<column>`` of the next row in descending order of the id, of the first row for the last one.
 
     Ids of null come last; rows of the same id follow each other by a hash of the row. The order is global, but no task sees more than a bucket of it: ids
-    are cut at quantiles into buckets of about ``per_bucket`` rows, and the first row of each bucket is also sent to
-    the bucket before it, so that each window finds all its next rows in its own partition. To the driver come the
+    are cut at quantiles into buckets of about ``per_bucket`` rows, and the row of the highest id of each bucket is also sent to
+    the end of the bucket above it, so that each window finds all its next rows in its own partition. To the driver come the
     boundaries alone, two longs a bucket.
     """
     sort_key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
@@ -73,8 +73,8 @@ def with_next(df: DataFrame, id_column: str, columns: list[str], per_bucket: int
     df = df.withColumn("_b", bucket)
     tops = {r[0]: r[1] for r in df.select("_b", "_sk").groupBy("_b").agg(F.max("_sk")).collect()}
     top = F.from_json(F.lit(str([tops.get(b) for b in range(len(bounds) + 1)]).replace("None", "null")), "array<bigint>")
-    here, before = F.struct(F.col("_b").alias("b"), F.lit(0).alias("s")), F.struct(F.pmod(F.col("_b") - 1, F.lit(len(bounds) + 1)).alias("b"), F.lit(1).alias("s"))
-    df = df.withColumn("_to", F.explode(F.when(F.get(top, F.col("_b")) == F.col("_sk"), F.array(here, before)).otherwise(F.array(here))))
+    here, above = F.struct(F.col("_b").alias("b"), F.lit(0).alias("s")), F.struct(F.pmod(F.col("_b") + 1, F.lit(len(bounds) + 1)).alias("b"), F.lit(1).alias("s"))
+    df = df.withColumn("_to", F.explode(F.when(F.get(top, F.col("_b")) == F.col("_sk"), F.array(here, above)).otherwise(F.array(here))))
     order = Window.partitionBy("_to.b").orderBy("_to.s", F.desc("_sk"), F.xxhash64(*columns))
     return df.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_to.s = 0").drop("_sk", "_b", "_to")
 
