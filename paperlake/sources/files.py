@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +23,24 @@ def scan_documents(spark: SparkSession, path: str, done: DataFrame | None = None
     return files if done is None else files.join(done.select("stem").distinct(), "stem", "left_anti")
 
 
+def _decode(files: DataFrame) -> DataFrame:
+    """path, format and raw text; gzipped files are unpacked, of an archive of LaTeX sources the main one is taken."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            raw = []
+            for f, b in zip(pdf.format, pdf.content, strict=True):
+                b = bytes(b)
+                raw.append(D.main_tex(b) if f == "tex" else (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
+            yield pd.DataFrame({"path": pdf.path, "format": pdf.format, "raw": raw})
+
+    return files.select("path", "format", "content").mapInPandas(run, "path string, format string, raw string")
+
+
 def to_markdown(files: DataFrame) -> DataFrame:
     """path, text and status of scanned files by their format; PDFs need a provider and come back as unsupported."""
-    decoded = files.withColumn("raw", F.when(F.col("format").isin("txt", "md", "xml", "tex", "html"), F.try_to_binary(F.col("content").cast("string"), F.lit("utf-8")).cast("string")))
+    decoded = files.withColumn("format", F.when(F.lower("path").endswith(".xml.gz"), "xml").otherwise(F.col("format")))
+    decoded = _decode(decoded.where(F.col("format").isin("txt", "md", "xml", "tex"))).unionByName(decoded.where(~F.col("format").isin("txt", "md", "xml", "tex")).select("path", "format", F.lit(None).cast("string").alias("raw")))
     part = lambda f, how: D.convert(decoded.where(F.col("format") == f), how, "path", "raw")
     plain = decoded.where(F.col("format").isin("txt", "md")).select("path", F.col("raw").alias("text"), F.lit("ok").alias("status"))
     rest = decoded.where(~F.col("format").isin("txt", "md", "xml", "tex")).select("path", F.lit(None).cast("string").alias("text"), F.lit("unsupported").alias("status"))
