@@ -7,10 +7,10 @@ buckets, and two sets of likeness 0.85 share no bucket with a probability of 6e-
 Documents with equal sets are one node from the start. In each bucket a leader is compared with all other members; leaders are those that
 are in the fullest buckets, which in a group of edited copies is the text they were copied from. Members of a bucket that still belong to
 different components are compared further: first those drop out whose shingles, but for ones that no other such document has,
-are too few for any link; then the next leaders, twice as many in each round, are compared with the rest until each
-bucket's remaining members are one component. So every pair that shares a bucket is compared exactly, is connected already, or is provably
-below the threshold, while no round makes the pairs of a group. Comparisons stream sorted rows, a leader's text before its
-members', in salted runs of bounded length.
+are too few for any link; then all that is left of a bucket is compared in blocks, as products of matrices. So every pair that
+shares a bucket is compared exactly, is connected already, or is provably below the threshold, while the pairs of a group are never
+rows: comparisons with leaders stream sorted rows, a leader's text before its members', in salted runs of bounded length, and
+two blocks give at most one edge per document.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ BANDS, ROWS = 32, 4
 SLOTS = 1 << 20
 PERCENT = 85
 RUN = 512
+BLOCK_SHINGLES, COLUMNS = 300_000, 512
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _MULTIPLIERS = (np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 CACHE = 300_000
@@ -164,6 +165,81 @@ def _unshared(texts: DataFrame) -> DataFrame:
     return alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def joined(sets: list[np.ndarray], left: int, percent: int) -> np.ndarray:
+    """For each set the smallest position among sets it is connected with, where links are sought between the first ``left`` sets and the others, or within all if there are no others.
+
+    Intersections of all pairs come from products of 0/1 matrices over the shingles that both sides have, some columns at a time.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    split = 0 < left < len(sets)
+    a, b = (slice(0, left), slice(left, None)) if split else (slice(None), slice(None))
+    first = owner < left
+    useful = (np.bincount(at[first], minlength=len(shingle)) > 0) & (np.bincount(at[~first], minlength=len(shingle)) > 0) if split else np.bincount(at, minlength=len(shingle)) > 1
+    column = np.cumsum(useful) - 1
+    keep = useful[at]
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sizes[a]), len(sizes[b])), dtype=np.float32)
+    for c in range(0, int(useful.sum()), COLUMNS):
+        low, high = np.searchsorted(at, (c, c + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[owner[low:high], at[low:high] - c] = 1
+        both += x[a] @ x[b].T
+    link = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        near_a = np.where(link, label[b][None, :], len(sets)).min(axis=1, initial=len(sets))
+        new_a = np.minimum(label[a], near_a)
+        new_b = np.minimum(label[b], np.where(link, new_a[:, None], len(sets)).min(axis=0, initial=len(sets)))
+        new = np.concatenate([new_a, new_b]) if split else np.minimum(new_a, new_b)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def compare_clusters(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) that connect what is linked among members (bucket, id, n) of the same cluster of overlapping buckets.
+
+    All pairs of a cluster are compared, in blocks: its documents are dealt by a hash to blocks of about ``BLOCK_SHINGLES`` shingles, and each
+    two blocks meet in one task, which gives back at most one edge for each of their documents.
+    """
+    low = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    clusters = components(members.join(low, "bucket").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "cluster")
+    docs = clusters.join(members.select("id", "n").distinct(), "id")
+    blocks = docs.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    docs = docs.join(blocks, "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    docs = docs.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = docs.join(texts, "id").select("cluster", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"), "k", "id", "text")
+    rows = rows.repartition(shuffle_partitions(members.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "k")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, ids, sides, sets = _Hashes(), None, [], [], []
+
+        def emit() -> pa.RecordBatch:
+            label = joined(sets, sum(s == key[1] for s in sides) if key[1] != key[2] else len(sets), percent)
+            found = [(ids[x], ids[i]) for i, x in enumerate(label.tolist()) if x != i]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            found = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], hashes)
+            for c, i, j, k, x, s in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "k", "id")), found, strict=True):
+                if (c, i, j) != key:
+                    if sets:
+                        yield emit()
+                    key, ids, sides, sets = (c, i, j), [], [], []
+                ids.append(x)
+                sides.append(k)
+                sets.append(s)
+        if sets:
+            yield emit()
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -202,23 +278,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         open_ = open_.join(_unshared(few), "id", "left").withColumn("k", F.col("n") - F.coalesce("alone", F.lit(0)))
         open_ = open_.where(f"100 * k >= {percent} * (n + greatest(least, k) - k)").drop("k", "alone")
         open_ = unsettled(open_.drop("c"))
-    several = 1
-    while not open_.isEmpty():
-        leaders = _leaders(open_, several)
-        pairs = open_.join(leaders, "bucket").where("id <> a AND c <> d").where(fits).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        edges = cut(edges.union(verify(cut(pairs), texts, percent)))
-        rest = open_.join(leaders.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").drop("c")
+    if not open_.isEmpty():
+        edges = edges.unionByName(cut(compare_clusters(open_, texts, percent)))
         labels = components(edges)
-        open_ = unsettled(rest)
-        several *= 2
 
     to = nodes.select("digest", F.col("id").alias("node")).join(labels, F.col("node") == F.col("id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "digest").join(to, F.col("digest") == F.col("_digest"), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _leaders(members: DataFrame, several: int) -> DataFrame:
-    """bucket, a, m, d: id, size and component of the ``several`` highest-scored members of each bucket; Spark limits each bucket before the shuffle."""
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
-    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= several).select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))

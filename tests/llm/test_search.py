@@ -202,3 +202,30 @@ def test_components(spark):
         up[rb] = ra
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_clusters_in_blocks(spark, monkeypatch):
+    """Families without the text they come from, compared in blocks far smaller than they are."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 700)
+    rng = random.Random(4)
+    docs, i = [], 0
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(60):
+            docs.append((i, edited(rng, base, rng.randint(1, 5))))
+            i += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == near(docs)
+
+
+def test_joined_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint64)) for _ in range(12)]
+        for left in (12, 5):
+            pairs = [(x, y) for x in range(12) for y in range(x) if (left == 12 or (x >= left) != (y >= left)) and minhash.linked(sets[x], sets[y], 60)]
+            up = list(range(12))
+            for _ in range(12):
+                for x, y in pairs:
+                    up[x] = up[y] = min(up[x], up[y])
+            assert minhash.joined(sets, left, 60).tolist() == up
