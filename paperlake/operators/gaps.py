@@ -31,7 +31,7 @@ def underexplored(props: DataFrame, struct: DataFrame, properties: DataFrame, mi
     The properties are a dimension of fixed size; Spark broadcasts it if its own size check allows.
     """
     covered = props.where("coalesce(material_family, '') <> '' AND coalesce(property_key, '') <> ''").select("material_family", "property_key").distinct()
-    pairs = well_studied(props, struct, min_papers).withColumn("_one", F.lit(1)).join(properties.select("property_key").distinct().withColumn("_one", F.lit(1)), "_one").drop("_one")
+    pairs = well_studied(props, struct, min_papers).crossJoin(properties.select("property_key").distinct())
     out = pairs.join(covered, ["material_family", "property_key"], "left_anti")
     out = numbered(out, "ug", F.col("material_family"), F.col("property_key")) if ids else out
     return out.select(*(["id"] if ids else []), F.lit("underexplored").alias("type"), F.col("material_family").alias("concept_a"), F.col("property_key").alias("concept_b"), F.col("papers").alias("support"))
@@ -52,18 +52,20 @@ def cooccurrence(concepts: DataFrame) -> DataFrame:
     return mats.join(methods, "doi").groupBy("material", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_links(concepts: DataFrame, min_papers: int = MIN_PAPERS, top: int | None = TOP_MISSING) -> DataFrame:
+def missing_links(concepts: DataFrame, min_papers: int = MIN_PAPERS, top: int | None = TOP_MISSING, ids: bool = True) -> DataFrame:
     """Materials and methods that both occur with partners, but never together, by their support.
 
+    The grid of all supported materials and methods is what is asked for; it is enumerated in parallel. Ids number all empty cells before the cut at ``top``; without them
+    only the top is sorted.
     Support counts (paper, partner) pairs, so one paper with two methods supports its material twice.
     """
     pairs = cooccurrence(concepts)
     rows = pairs.groupBy("material").agg(F.sum("n").alias("row_support")).where(F.col("row_support") >= min_papers)
     cols = pairs.groupBy("method").agg(F.sum("n").alias("col_support")).where(F.col("col_support") >= min_papers)
-    grid = rows.withColumn("_one", F.lit(1)).join(cols.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    out = grid.join(pairs.select("material", "method"), ["material", "method"], "left_anti")
-    out = numbered(out.withColumn("support_score", F.least("row_support", "col_support").cast("long")), "ml", F.col("material"), F.col("method"))
-    out = out.select("id", F.lit("missing_link").alias("type"), F.col("material").alias("concept_a"), F.col("method").alias("concept_b"), "support_score")
+    out = rows.crossJoin(cols).join(pairs.select("material", "method"), ["material", "method"], "left_anti")
+    out = out.withColumn("support_score", F.least("row_support", "col_support").cast("long"))
+    out = numbered(out, "ml", F.col("material"), F.col("method")) if ids else out
+    out = out.select(*(["id"] if ids else []), F.lit("missing_link").alias("type"), F.col("material").alias("concept_a"), F.col("method").alias("concept_b"), "support_score")
     return out.orderBy(F.desc("support_score"), "concept_a", "concept_b").limit(top) if top else out
 
 
