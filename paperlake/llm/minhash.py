@@ -126,12 +126,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are linked. ``texts``: id, text of at least all ids in the pairs.
 
+    Texts are joined by sort and merge whatever the sizes, so that small runs have the plan of large ones.
     A row for each pair carries b's text; a's text goes once to each run of about ``RUN`` of its pairs. Rows sorted by run stream
     through, a's first, so a task holds one set of a and an Arrow batch.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    heads = sizes.join(texts, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    members = pairs.join(sizes, "a").withColumn("run", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int")).join(texts, F.col("b") == F.col("id")).select("a", "run", F.lit(1).alias("role"), "b", "text")
+    heads = sizes.join(texts.hint("merge"), F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    members = pairs.join(sizes, "a").withColumn("run", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int")).join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "run", F.lit(1).alias("role"), "b", "text")
     rows = heads.unionByName(members).repartition(shuffle_partitions(pairs.sparkSession), "a", "run").sortWithinPartitions("a", "run", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
     members = cut(members.join(score, "id").select("bucket", "id", "n", "least", F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).toDF("bucket", "id", "n", "least", "score"))
     wanted = members.select("id").distinct()
-    texts = cut(docs.join(wanted, "id").join(nodes.select("id", "n"), "id").dropDuplicates(["id"]).select("id", "text"))
+    texts = cut(docs.join(wanted.hint("merge"), "id").join(nodes.select("id", "n"), "id").dropDuplicates(["id"]).select("id", "text"))
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
 
     leaders = members.groupBy("bucket").agg(F.max_by("id", "score").alias("a"), F.max_by("n", "score").alias("m"))
