@@ -16,6 +16,7 @@ from paperlake.llm import decontam, linededup, minhash, mixing, quality
 from paperlake.llm.common import read, shared_dir
 
 QUALITY_THRESHOLD = 0.3
+NEAR_PERCENT = 80
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,8 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the lowest id. Rows of one id are one document; rows without an id go only if another one of them has the same text."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """One document of each group of near-duplicates (likeness of at least ``NEAR_PERCENT``), the one of the lowest id. Rows of one id are one document; rows without an id go only if another one of them has the same text."""
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 

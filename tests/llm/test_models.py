@@ -141,3 +141,12 @@ def test_pipeline_stage_edges(spark, sf_dir):
     assert {str(r["doc_id"]) for r in mixed} <= {"1", "None"}
     for _, stage in pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_near_copies_from_80_percent(spark, sf_dir):
+    """Likeness 86 / 106 and 81 / 111 of the first text; the first of these is a near copy."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(100)]
+    rows = [(n, " ".join(f"e{n}" if i in at else w for i, w in enumerate(base))) for n, at in ((1, ()), (2, (30, 60)), (3, (20, 50, 80)))]
+    docs = spark.createDataFrame([(*r, "en", "a", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()) == [1, 3]
