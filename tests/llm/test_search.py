@@ -204,6 +204,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(7, 3007))
+    random.Random(6).shuffle(ids)
+    got = components(spark.createDataFrame([*zip(ids, ids[1:], strict=False), (1, 2)], "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == {1: 1, 2: 1} | dict.fromkeys(ids, 7) and len(got) == 3002
+
+
 def test_clusters_in_blocks(spark, monkeypatch):
     """Families without the text they come from, compared in blocks far smaller than they are."""
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 700)
