@@ -308,6 +308,13 @@ def concept_rules(spark, d):
     return M.concepts(docs, materials=("Qq",), methods=("the", "der", "les", "para"), properties=("qq",))
 
 
+@query()
+def concept_rules_all(spark, d):
+    """All documents of all languages; ``concept_rules`` is the part whose word boundaries its SQL can express."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doi"), "text")
+    return M.concepts(docs, materials=("Qq",), methods=("the", "der", "les", "para"), properties=("qq",))
+
+
 @query("""WITH a AS (SELECT doc_id AS ord, '10.1/' || doc_id AS doi, regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', '', 'g') AS k FROM documents), t AS (SELECT k, min_by(doi, ord) AS t_doi FROM a WHERE k <> '' GROUP BY k),
 f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '10.1_' || doc_id WHEN 1 THEN 'x_' || doc_id WHEN 2 THEN 'zz' || doc_id ELSE 'qq' || doc_id END AS folder, CASE WHEN doc_id % 4 = 1 THEN split_part(text, chr(10), 1) ELSE '' END AS title FROM documents)
 SELECT folder, CASE WHEN doc_id % 4 = 3 THEN '10.9/o' || doc_id WHEN doc_id % 4 = 0 THEN '10.1/' || doc_id WHEN t_doi IS NOT NULL THEN t_doi ELSE replace(folder, '_', '/') END AS doi,

@@ -1,4 +1,5 @@
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from paperlake.operators import gaps as G
 from paperlake.operators import materialize as M
 from paperlake.operators import search as S
 from paperlake.operators import tables as TB
+from paperlake.queries import QUERIES
 from paperlake.registry import header_registry, normalize_domain, specs, validate_domain
 from paperlake.sources import files, providers
 from paperlake.streaming import breaker, event_counts, ingest, new_files
@@ -147,6 +149,13 @@ def test_passages(spark):
     assert D.passages(rows, ["none"], [], 7).first()["passages"] == "plain\nw"
 
 
+def test_concepts_of_all_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    found = {(str(r["doc_id"]), "methods", w.lower()) for r in docs for w in re.findall(r"\b(?:the|der|les|para)\b", r["text"] or "", re.I)}
+    got = [(str(r["doi"]), r["type"], r["concept"]) for r in QUERIES["concept_rules_all"](spark, sf_dir).collect()]
+    assert set(got) == found and len(got) == len(found) and {w for _, _, w in found} == {"the", "der", "les", "para"}
+
+
 def test_converters():
     md, status = D.xml_to_markdown("<article><abstract><p>Ab</p></abstract><sec><title>S</title><p>Body</p><table><tr><td>a|b</td></tr></table></sec></article>")
     assert status == "ok" and "Body" in md and "a\\|b" in md
