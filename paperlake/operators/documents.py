@@ -83,9 +83,9 @@ def with_sections(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def passages(rows: DataFrame, preferred: list[str], keywords: list[str], max_chars: int, id_column: str = "doc_id") -> DataFrame:
-    """id and passages: paragraphs of the preferred sections first, those with a keyword before others, cut at ``max_chars``.
+    """id and passages, cut at ``max_chars``: paragraphs of the preferred sections with a keyword, then, in their order, those with a keyword elsewhere and the rest of the preferred sections.
 
-    ``rows``: id, line_no, section, line. If no section is preferred the whole text stands.
+    ``rows``: id, line_no, section, line. If no section is preferred the whole text stands, paragraphs with a keyword before others.
     """
     low = F.lower("section")
     wanted = F.lit(False)
@@ -94,10 +94,11 @@ def passages(rows: DataFrame, preferred: list[str], keywords: list[str], max_cha
     hit = F.lit(False)
     for k in keywords:
         hit = hit | F.contains(F.lower("line"), F.lit(k.lower()))
-    marked = rows.withColumns({"_w": wanted, "_k": F.when(hit, 0).otherwise(1)})
-    ordered = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("_k", "line_no", "line")))), lambda x: x["line"]), "\n")
-    both = marked.groupBy(id_column).agg(ordered(F.col("_w")).alias("chosen"), ordered(F.lit(True)).alias("whole"))
-    return both.select(id_column, F.substring(F.when(F.col("chosen") != "", F.col("chosen")).otherwise(F.col("whole")), 1, max_chars).alias("passages"))
+    marked = rows.withColumns({"_w": wanted, "_k": hit})
+    ordered = lambda cond, rank: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct((~rank).alias("r"), "line_no", "line")))), lambda x: x["line"]), "\n")
+    w, k = F.col("_w"), F.col("_k")
+    both = marked.groupBy(id_column).agg(F.bool_or("_w").alias("any"), ordered(w | k, w & k).alias("chosen"), ordered(F.lit(True), k).alias("whole"))
+    return both.select(id_column, F.substring(F.when(F.col("any"), F.col("chosen")).otherwise(F.col("whole")), 1, max_chars).alias("passages"))
 
 
 def abstract_of(text: Column) -> Column:

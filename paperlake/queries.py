@@ -247,6 +247,13 @@ def passages_topk(spark, d):
     return D.passages(D.with_sections(D.lines(read(spark, d, "documents"))), ["results"], ["the", "der"], 500)
 
 
+@query()
+def passages_evidence(spark, d):
+    """The reference's sections for properties and its limit; ``passages_topk`` shows what its SQL can express, the first 500 characters."""
+    preferred = ["result", "discussion", "analysis", "performance", "property", "characterization", "measurement"]
+    return D.passages(D.with_sections(D.lines(read(spark, d, "documents"))), preferred, ["the", "der"], 30_000)
+
+
 @query("""SELECT role, sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')))::BIGINT AS tokens, count(*) AS turns FROM conversations GROUP BY role""".replace("\\\\", "\\"))
 def token_counts(spark, d):
     return read(spark, d, "conversations").groupBy("role").agg(F.sum(N.token_count(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("turns"))

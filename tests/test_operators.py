@@ -156,6 +156,19 @@ def test_concepts_of_all_documents(spark, sf_dir):
     assert set(got) == found and len(got) == len(found) and {w for _, _, w in found} == {"the", "der", "les", "para"}
 
 
+def test_passages_outside_the_preferred_sections(spark):
+    text = "# Abstract\nTc is 5 K\nthanks\n# Results\nplain\nTc rises\n# End\nno Tc"
+    rows = D.with_sections(D.lines(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    assert D.passages(rows, ["result"], ["tc"], 1000).first()["passages"] == "Tc rises\nTc is 5 K\nplain\nno Tc"
+
+
+def test_passages_of_long_texts(spark, tmp_path):
+    text = "# Abstract\nthe start\n# Results\n" + "x" * 700 + "\nthe end"
+    spark.createDataFrame([(1, text), (2, "y" * 40000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["passages"] for r in QUERIES["passages_evidence"](spark, str(tmp_path)).collect()}
+    assert got == {1: "the end\nthe start\n" + "x" * 700, 2: "y" * 30000}
+
+
 def test_converters():
     md, status = D.xml_to_markdown("<article><abstract><p>Ab</p></abstract><sec><title>S</title><p>Body</p><table><tr><td>a|b</td></tr></table></sec></article>")
     assert status == "ok" and "Body" in md and "a\\|b" in md
