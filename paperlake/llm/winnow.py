@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-The text in lower case is cut into tokens: runs of at most 12 characters without white space. Every k consecutive tokens have a
+The text in lower case is cut into tokens: runs of at most 12 characters without white space, but single characters in scripts that put no
+space between words, so that an inserted one shifts no token. Every k consecutive tokens have a
 hash. Of each window of w consecutive hashes the smallest is picked, the rightmost of equal ones, with its position.
 Two texts that share k + w - 1 consecutive tokens share a pick, whatever else differs. Fewer than k tokens make one
 gram; no token makes an empty fingerprint.
@@ -15,13 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 4, 6
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese", "Tai_Le", "New_Tai_Lue", "Tai_Tham"))
+TOKEN = rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,12}}"
 POSITION_BITS = 27
 LAST = (1 << POSITION_BITS) - 1
 
 
 def fingerprint(df: DataFrame, text_column: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """``df`` with ``out``: array<long> of picks in the order of the text. Null counts as the empty text."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(r"\S{1,12}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(TOKEN), F.lit(0))
     df = df.withColumn("_h", F.transform(tokens, lambda t: F.xxhash64(t)))
     gram = ", ".join(f"_h[i + {j}]" for j in range(k))
     packed = f"shiftleft(shiftrightunsigned({{}}, {64 - 63 + POSITION_BITS}), {POSITION_BITS}) + {LAST} - least({{}}, {LAST})"

@@ -105,6 +105,16 @@ def test_fingerprints_small_tables(spark):
     assert twins.count() == 3
 
 
+def test_fingerprints_of_unspaced_text(spark):
+    """One inserted character leaves the picks of all windows without it."""
+    rng = random.Random(7)
+    for first, last in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E)):
+        t = "".join(chr(rng.randint(first, last)) for _ in range(3000))
+        rows = [(t, e) for e in (chr(first) + t, t[:1500] + chr(first) + t[1500:])]
+        df = winnow.fingerprint(winnow.fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+        assert min(r[0] for r in df.select(winnow.likeness("x", "y")).collect()) > 0.95
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.floats(0, 1))
 def test_fit_is_near_the_best(counts, share):
