@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words whose presence tells the labels apart (G-squared over a threshold) in a bounded sample of labelled documents. Each example is a
-vector of (1 + log tf) * idf over these terms, of length 1. Postings are cut into blocks of examples, and each term has
+Terms are the words whose presence best tells the labels apart (highest G-squared, whatever its size) in a bounded sample of labelled documents. Each example
+is a vector of (1 + log tf) * idf * G-squared over these terms, of length 1, so that telling words outweigh the many others. Postings are cut into blocks of examples, and each term has
 its largest weight per block; a query adds these up to a bound for every block, visits blocks from the highest bound
-down and stops when no block left can reach its k-th best. The k nearest vote with their cosines; the examples' own
+down and stops when no block left can reach its k-th best. With more than a few terms hardly any block can be left out, and the postings
+of all terms are added up at once, which finds the same examples. The k nearest vote with their cosines; the examples' own
 rate counts as one more vote of a fixed small weight. A document without any term is voted on by the examples without any.
 
 The model has a bounded size, whatever the corpus; prediction streams whole texts without a shuffle.
@@ -25,9 +26,9 @@ from paperlake.llm.common import cut, labelled_sample, small_batches
 
 SAMPLE_ROWS = 8000
 TERMS = 5000
-MIN_DOCUMENTS, MIN_G2 = 3, 25.0
 K, PRIOR_WEIGHT = 25, 1.0
 BLOCK = 64
+FEW = 6
 CACHE = 50_000
 EVIDENCE = 3
 _SPACED = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -72,6 +73,8 @@ class Index:
     def nearest(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k highest cosines over 0, and these; of equal ones, those first in the index."""
         terms, w = self.vector(tf)
+        if len(terms) > FEW:
+            return self._of_all(terms, w)
         bounds = w @ self.top[terms]
         best, sims = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bounds, kind="stable").tolist():
@@ -88,6 +91,19 @@ class Index:
             best, sims = best[keep], sims[keep]
         return best, sims
 
+    def _of_all(self, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = self.start[terms * self.blocks], self.start[(terms + 1) * self.blocks]
+        sizes = high - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        scores = np.bincount(self.example[at], self.weight[at] * np.repeat(w, sizes), minlength=len(self.labels))
+        best = np.flatnonzero(scores > 0)
+        sims = np.round(scores[best], 9)
+        if len(sims) > self.k:
+            some = sims >= np.partition(sims, -self.k)[-self.k]
+            best, sims = best[some], sims[some]
+        keep = np.lexsort((best, -sims))[: self.k]
+        return best[keep], sims[keep]
+
     def score(self, tf: dict[int, int]) -> tuple[float, list[str]]:
         if not tf:
             return self.bare, []
@@ -130,14 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int
 
     n, n1 = (int(x or 0) for x in sample.agg(F.count(F.lit(1)), F.sum("label")).first())
     a, b = F.sum("label"), F.count(F.lit(1)) - F.sum("label")
-    counts = sample.mapInArrow(distinct, "word string, label int").groupBy("word").agg(a.alias("a"), b.alias("b")).where(f"a + b >= {MIN_DOCUMENTS}")
+    counts = sample.mapInArrow(distinct, "word string, label int").groupBy("word").agg(a.alias("a"), b.alias("b"))
     part = lambda x, e: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ({e})) ELSE 0D END"
     g2 = " + ".join(part(x, e) for x, e in (("a", f"(a + b) * {n1 / max(n, 1)}D"), ("b", f"(a + b) * {1 - n1 / max(n, 1)}D"), (f"({n1} - a)", f"({n} - a - b) * {n1 / max(n, 1)}D"), (f"({n - n1} - b)", f"({n} - a - b) * {1 - n1 / max(n, 1)}D")))
-    chosen = counts.withColumn("g2", F.expr(f"2 * ({g2})")).where(f"g2 >= {MIN_G2}").orderBy(F.desc("g2"), "word").limit(terms).collect() if 0 < n1 < n else []
-    chosen = sorted((r["word"], r["a"] + r["b"]) for r in chosen)
-    model = Model([w for w, _ in chosen], Index([], np.zeros(0)))
-    idf = np.array([1 + math.log(n / df) for _, df in chosen])
-    counter = Model([w for w, _ in chosen], None)
+    chosen = counts.withColumn("g2", F.expr(f"2 * ({g2})")).where("g2 > 1e-9").orderBy(F.desc("g2"), "word").limit(terms).collect() if 0 < n1 < n else []
+    chosen = sorted((r["word"], r["a"] + r["b"], r["g2"]) for r in chosen)
+    model = Model([w for w, _, _ in chosen], Index([], np.zeros(0)))
+    idf = np.array([(1 + math.log(n / df)) * g for _, df, g in chosen])
+    counter = Model([w for w, _, _ in chosen], None)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -78,6 +78,27 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_both_ways_to_the_nearest(monkeypatch):
+    rng = random.Random(9)
+    index = toxicity.Index([(rng.randint(0, 1), f"{i:03}", {t: rng.randint(1, 4) for t in rng.sample(range(40), rng.randint(0, 9))}) for i in range(300)], np.array([1 + rng.random() for _ in range(40)]), k=7, block=16)
+    queries = [{t: rng.randint(1, 4) for t in rng.sample(range(40), rng.randint(1, 20))} for _ in range(60)]
+    got = {}
+    for few in (0, 99):
+        monkeypatch.setattr(toxicity, "FEW", few)
+        got[few] = [tuple(x.tolist() for x in index.nearest(q)) for q in queries]
+    assert all(a[1] == pytest.approx(b[1], abs=2e-9) for a, b in zip(got[0], got[99], strict=True)) and sum(a[0] == b[0] for a, b in zip(got[0], got[99], strict=True)) > 55
+
+
+def test_toxicity_of_few_labels(spark):
+    """Each insult is in three of 64 labelled documents, one more in a single one."""
+    insults = ["moron", "idiot", "fool"]
+    docs = [(i, f"plain {insults[i % 3] if i < 9 else 'words'} {'cretin' if i == 4 else 'about'} topic{i % 7}") for i in range(64)] + [(100 + k, f"plain {w} topic3") for k, w in enumerate([*insults, "cretin", "words"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i < 9)) for i in range(64)], "doc_id long, toxic int"), divisor=1000, remainder=999)
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(df, model, ["doc_id"]).collect()}
+    assert all(got[i] >= 0.3 for i in (100, 101, 102, 103)) and got[104] < 0.3
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(op7_toxicity, "toxic", 0.85), (op8_quality, "quality", 0.8)])
 def test_held_out(spark, sf_dir, query, label, least):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
