@@ -14,9 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in local mode (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="paperlake-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -59,9 +61,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
 
     The share kept is rows / labelled rows, so the sampled labels, which are broadcast, number about ``rows`` whatever
     the size of the table. Several labels of one id count as their maximum; rows with a null id or label are left out.
+    Rows of one id give one example, the one of the highest text, so that repeated ids don't make the sample larger.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out("doc_id", divisor, remainder))
     labels = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     share = min(1.0, rows / max(1, labels.count()))
     labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("doc_id").alias("_id"), "_label")
-    return docs.join(F.broadcast(labels), F.col("doc_id") == F.col("_id")).drop("_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label"))
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, size: str, salt_by: str, run: int, how: str = "inner") -> DataFrame:
+    """Join on ``key`` where ``left`` has many rows of a key and ``right`` one, both with ``size``, the key's rows in ``left``.
+
+    A key of many rows is dealt, by a hash of ``salt_by``, to tasks of about ``run`` rows each, and the one row goes to each of them.
+    """
+    runs = F.ceil(F.col(size) / run).cast("int")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), runs - 1))).drop(size)
+    return left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), runs).cast("int")).join(right, [key, "_salt"], how).drop("_salt")
