@@ -39,7 +39,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlbwt.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = rlbwt.remove_repeats(read(spark, sf_dir, "documents"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # for reading; a character that a cut goes through is U+FFFD here
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"), text.alias("text"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,17 +103,16 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = w.doc_id
 """,
     "op10_line_dedup": r"""
-WITH pages_ AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
-held AS (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM pages_),
+WITH pages_ AS (SELECT row_number() OVER () AS page, source, text FROM documents WHERE text IS NOT NULL),
+held AS (SELECT DISTINCT page, source, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM pages_),
 total AS (SELECT source, count(*) AS n_pages FROM pages_ GROUP BY source),
 common AS (SELECT h.source, h.line FROM (SELECT source, line, count(*) AS n FROM held WHERE line <> '' GROUP BY source, line) h
-           JOIN total t ON h.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > CAST(0.05 AS DOUBLE) * n_pages),
+           JOIN total t ON h.source IS NOT DISTINCT FROM t.source WHERE n > 1 AND n - 1 > CAST(0.05 AS DOUBLE) * (n_pages - 1)),
 grouped AS (SELECT source, list(line) AS lines FROM common GROUP BY source),
 x AS (SELECT d.doc_id, string_split(d.text, chr(10)) AS all_lines,
              list_filter(string_split(d.text, chr(10)), lambda l: NOT coalesce(list_contains(g.lines, trim(l, ' ' || chr(9) || chr(13))), false)) AS left_lines
-      FROM documents d LEFT JOIN grouped g ON d.source IS NOT DISTINCT FROM g.source),
-y AS (SELECT doc_id, all_lines, CASE WHEN len(list_filter(left_lines, lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) > 0 THEN left_lines ELSE all_lines END AS left_lines FROM x)
+      FROM documents d LEFT JOIN grouped g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, coalesce(len(all_lines), 0)::BIGINT AS n_lines, coalesce(len(all_lines) - len(left_lines), 0)::BIGINT AS n_dropped,
-       sha256(coalesce(array_to_string(left_lines, chr(10)), '')) AS text_sha256 FROM y
+       sha256(coalesce(array_to_string(left_lines, chr(10)), '')) AS text_sha256 FROM x
 """,
 }

@@ -10,8 +10,9 @@ A string of ``length`` bytes that also starts anywhere else, in another document
    document that overlap are merged, so that no place is there twice. The text's suffixes are sorted, its transform
    is cut into runs, and the common lengths of neighbouring suffixes are computed at the ends of runs only. All other
    matching statistics follow in one pass over the text, each one less than that of the position before.
-4. An anchor hash with more different surroundings than an index may hold (``MOST``) is resolved exactly without one: by counting
-   128-bit hashes of its strings, which combine before the shuffle.
+4. An anchor hash with more different surroundings than one index takes (``MOST``) is divided among several: a string that holds
+   the anchor has at least half of its other bytes to the left of it or to the right, so the anchor grows by that half, once to
+   each side, and the grown anchors go through steps 1 to 3 again, until every index is small enough or the anchor is the whole string.
 
 The spans found go back to their documents by a 128-bit hash of the text, so ids may repeat or be null.
 """
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import cut, shuffle_partitions, small_batches
+from paperlake.llm.common import cut, small_batches
 from paperlake.llm.fmindex import suffix_array
 
 LENGTH, GRAM = 400, 128
-INDEX_BYTES = 1 << 20
-MOST = 6000
+INDEX_BYTES = 1 << 18
+MOST = 4000
 SLAB = 1 << 20
-POSITION_BITS = 27
+POSITION_BITS = 31
 
 _rng = np.random.default_rng(9)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +88,7 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, hash of the surroundings, start and end of the surroundings, number) of a slab of documents.
+    """(document, anchor hash, hash of the surroundings, start and end of the surroundings, number) of each anchor in a slab of documents.
 
     An anchor is the rightmost lowest gram of a string; one that is still in reach and equal to it is used again, so
     periodic text has no more anchors. Its number is then 2, since its strings may repeat within its surroundings, else 1.
@@ -237,69 +238,114 @@ def _gram(length: int) -> int:
     return max(1, length * GRAM // LENGTH)
 
 
+def grown(data: bytes, pieces: list[dict], length: int = LENGTH) -> list[tuple[int, ...]]:
+    """Of surroundings (key, s, e, a, b, node) of anchors [a, b), the same for the anchors grown to either side by half of what a string has besides.
+
+    ``node`` tells by its bits which ways an anchor has grown, so that equal strings meet at equal places of equal anchors. An anchor that has not grown yet
+    (node 1) stands for all grams equal to it in its surroundings; surroundings that overlap are one, so that no place is there twice.
+    """
+    hashed, out = Hashed(np.frombuffer(data, dtype=np.uint8)), []
+    gram = _gram(length)
+    around: dict[int, list[tuple[int, int]]] = {}
+    for p in pieces:
+        if p["node"] == 1:
+            around.setdefault(p["key"], []).append((p["s"], p["e"]))
+    places = [(lo, hi, 1, key) for key, own in around.items() for lo, hi in merge(own)] + [(p["s"], p["e"], p["node"], p) for p in pieces if p["node"] > 1]
+    for lo, hi, node, of in places:
+        if node == 1:
+            starts = np.arange(lo, hi - gram + 1)
+            a = starts[hashed.of(starts, starts + gram).view(np.int64) == of]
+            b = a + gram
+        else:
+            a, b = np.array([of["a"]]), np.array([of["b"]])
+        half = (length - int(b[0] - a[0]) + 1) // 2
+        for way, (x, y) in enumerate(((a - half, b), (a, b + half))):
+            fits = (x >= lo) & (y <= hi)
+            x, y = x[fits], y[fits]
+            s, e = np.maximum(lo, y - length), np.minimum(hi, x + length)
+            long_ = e - s >= length
+            x, y, s, e = (v[long_] for v in (x, y, s, e))
+            key = _mix(hashed.of(x, y) ^ _mix(np.full(len(x), 2 * node + way, dtype=np.uint64))).view(np.int64)
+            same = (hashed.of(s, e) ^ _mix((x - s).astype(np.uint64) << np.uint64(20) | (e - x).astype(np.uint64))).view(np.int64)
+            out += zip(key.tolist(), same.tolist(), s.tolist(), e.tolist(), x.tolist(), y.tolist(), [2 * node + way] * len(x), strict=True)
+    return out
+
+
+_PIECE = ("s", "e", "a", "b", "node")
+_ROW = "d1 long, d2 long, key long, around long, s int, e int, m int, a int, b int, node int"
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """d1, d2 and ``spans`` (array of start and end in bytes, unmerged) of all documents (d1, d2, text as binary) with repeats."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    found = cut(docs.mapInArrow(lambda it: _anchor_rows(it, length), "d1 long, d2 long, key long, around long, s int, e int, m int"))
-    several = found.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key")
-    found = cut(found.join(several, "key"))
-    groups = cut(found.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"), *(F.first(c).alias(c) for c in ("d1", "d2", "s", "e"))))
-    whole = found.join(groups.where("n > 1").select("key", "around"), ["key", "around"]).where(F.col("e") - F.col("s") >= length).select("d1", "d2", "s", "e").distinct()
-    kinds = groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("m").alias("most")).where("kinds > 1 OR most > 1").select("key", "kinds")
-    wanted = cut(groups.join(kinds, "key").select("d1", "d2", F.struct("key", "s", "e", (F.col("kinds") > most).alias("hot")).alias("piece")))
-    per_doc = wanted.groupBy("d1", "d2").agg(F.collect_list("piece").alias("pieces"))
-    one = docs.withColumn("_n", F.row_number().over(Window.partitionBy("d1", "d2").orderBy("d1"))).where("_n = 1").drop("_n")
-    sources = one.join(per_doc, ["d1", "d2"])
+    zero = [F.lit(0).alias(c) for c in ("a", "b")]
+    rows = docs.mapInArrow(lambda it: _anchor_rows(it, length), "d1 long, d2 long, key long, around long, s int, e int, m int").select("*", *zero, F.lit(1).alias("node"))
+    spans: DataFrame | None = None
+    while True:
+        rows = cut(rows)
+        several = cut(rows.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1").select("key"))
+        rows = cut(rows.join(several, "key"))
+        groups = rows.groupBy("key", "around").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"), F.min(F.struct("d1", "d2", *_PIECE)).alias("one"))
+        groups = cut(groups.select("key", "around", "n", "m", "one.*"))
+        whole = rows.join(groups.where("n > 1").select("key", "around"), ["key", "around"]).where(F.col("e") - F.col("s") >= length).select("d1", "d2", "s", "e").distinct()
+        kinds = cut(groups.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("m").alias("most")).where("kinds > 1 OR most > 1").select("key", "kinds"))
+        piece = F.struct("key", *_PIECE, (F.col("kinds") > most).alias("hot")).alias("piece")
+        wanted = cut(groups.join(kinds, "key").select("d1", "d2", piece))
+        here = cut(whole.union(_indexed(_pieces(docs, wanted.where("NOT piece.hot")), length)))
+        spans = here if spans is None else spans.union(here)
+        hot = wanted.where("piece.hot")
+        if hot.isEmpty():
+            return spans.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        rows = _pieces(docs, hot).mapInArrow(lambda it: _grow(it, length), _ROW)
+
+
+def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents (d1, d2, text) with all their wanted ``pieces``; of copies each has them, and readers take one copy a task."""
+    return docs.join(cut(wanted.groupBy("d1", "d2").agg(F.collect_list("piece").alias("pieces"))), ["d1", "d2"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes, list[dict]]]]:
+    """d1, d2, text and pieces, by batch, of texts that are new to the task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys = list(zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True))
+        fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        yield [(*keys[i], batch.column("text")[i].as_py(), batch.column("pieces")[i].as_py()) for i in fresh]
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _grow(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for some in _once(batches):
+        yield _arrow([(d1, d2, key, around, s, e, 1, a, b, node) for d1, d2, t, ps in some for key, around, s, e, a, b, node in grown(t, ps, length)], _ROW)
+
+
+def _indexed(sources: DataFrame, length: int) -> DataFrame:
+    """Spans of strings that repeat among the pieces of a key, by run-length indexes of about ``INDEX_BYTES`` of whole keys."""
+    data_schema, span_schema = "key long, d1 long, d2 long, s int, e int, data binary", "d1 long, d2 long, s int, e int"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p["key"], x1, x2, p["s"], p["e"], t[p["s"] : p["e"]]) for x1, x2, t, ps in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text", "pieces")), strict=True) for p in ps if not p["hot"]]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["key", "d1", "d2", "s", "e", "data"])
+        for some in _once(batches):
+            yield _arrow([(p["key"], d1, d2, p["s"], p["e"], t[p["s"] : p["e"]]) for d1, d2, t, ps in some for p in ps], data_schema)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[tuple[int, int], list] = {}
         size, last = 0, None
-
-        def emit() -> pa.RecordBatch:
-            rows = repeated(pieces, length)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["d1", "d2", "s", "e"])
-
         for batch in batches:
             for key, x1, x2, s, e, data in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "s", "e", "data")), strict=True):
                 if size >= INDEX_BYTES and key != last:
-                    yield emit()
+                    yield _arrow(repeated(pieces, length), span_schema)
                     pieces, size = {}, 0
                 pieces.setdefault((x1, x2), []).append((s, e, data))
                 size += len(data)
                 last = key
         if pieces:
-            yield emit()
-
-    near = sources.mapInArrow(fetch, "key long, d1 long, d2 long, s int, e int, data binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(index, "d1 long, d2 long, s int, e int")
-    spans = whole.union(near)
-    if not wanted.where("piece.hot").isEmpty():
-        spans = spans.union(_count_strings(sources, length))
-    return spans.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-
-
-def _count_strings(sources: DataFrame, length: int) -> DataFrame:
-    """Spans of strings around the hot anchors that two places have, by two 64-bit hashes of each string."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x1, x2, t, ps in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text", "pieces")), strict=True):
-                at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(p["s"], p["e"] - length + 1) for p in ps if p["hot"])]))
-                data = np.frombuffer(t, dtype=np.uint8)
-                back = len(data) - at - length
-                h1, h2 = Hashed(data).of(at, at + length).view(np.int64), Hashed(data[::-1]).of(back, back + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), x1, np.int64)), pa.array(np.full(len(at), x2, np.int64)), pa.array(at.astype(np.int32))], ["h1", "h2", "d1", "d2", "s"])
+            yield _arrow(repeated(pieces, length), span_schema)
 
-    rows = cut(sources.mapInArrow(strings, "h1 long, h2 long, d1 long, d2 long, s int"))
-    twice = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return rows.join(twice, ["h1", "h2"]).select("d1", "d2", "s", (F.col("s") + length).alias("e"))
+    return sources.mapInArrow(fetch, data_schema).repartition("key").sortWithinPartitions("key").mapInArrow(index, span_schema)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -321,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), F.col("text").cast("binary").alias("text"))
-    spans = find_repeats(docs.select("d1", "d2", "text"), length, most)
+    spans = cut(find_repeats(docs.select("d1", "d2", "text"), length, most))
     id_type = docs.schema["id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

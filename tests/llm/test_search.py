@@ -105,7 +105,7 @@ def repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [6000, 3])
+@pytest.mark.parametrize("most", [4000, 3])
 def test_repeats(spark, most):
     rng = random.Random(1)
     docs = [(i, "".join(rng.choice(["ab", "cd", "e", "fgh", "ij é"]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(None, None), (None, "x" * 100), (3, "ab" * 30), (3, "ab" * 30), (4, "")]
