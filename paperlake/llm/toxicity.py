@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words whose presence best tells the labels apart (highest G-squared, whatever its size) in a bounded sample of labelled documents. Each example
-is a vector of (1 + log tf) * idf * G-squared over these terms, of length 1, so that telling words outweigh the many others. Postings are cut into blocks of examples, and each term has
-its largest weight per block; a query adds these up to a bound for every block, visits blocks from the highest bound
-down and stops when no block left can reach its k-th best. With more than a few terms hardly any block can be left out, and the postings
-of all terms are added up at once, which finds the same examples. The k nearest vote with their cosines; the examples' own
-rate counts as one more vote of a fixed small weight. A document without any term is voted on by the examples without any.
+Every word of a bounded sample of labelled documents is a term. A document is a vector of (1 + log tf) * idf * G-squared over them, of length 1: the
+G-squared of a word's presence against the label, as a supervised term weight, lets telling words outweigh the many others. Postings are cut into
+blocks of examples, and each term has its largest weight per block; a query adds these up to a bound for every block, visits
+the blocks of the highest bounds, and then only those that can still reach its k-th best, which gives the exact neighbours. The k
+nearest vote with their cosines; the examples' own rate counts as one more vote of a fixed small weight. The vote is calibrated by a logistic curve that is
+fitted to examples' own votes without themselves. A document without any term is voted on by the examples without any.
 
 The model has a bounded size, whatever the corpus; prediction streams whole texts without a shuffle.
 """
@@ -24,11 +24,10 @@ from pyspark.sql import types as T
 
 from paperlake.llm.common import cut, labelled_sample, small_batches
 
-SAMPLE_ROWS = 8000
-TERMS = 5000
+SAMPLE_ROWS = 2500
 K, PRIOR_WEIGHT = 25, 1.0
-BLOCK = 64
-FEW = 6
+BLOCK, FIRST = 64, 4
+CALIBRATION = 600
 CACHE = 50_000
 EVIDENCE = 3
 _SPACED = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -39,102 +38,125 @@ def words(text: str) -> list[str]:
     return text.lower().translate(_SPACED).split()
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [low, high) in a row, and the sizes of the ranges."""
+    sizes = high - low
+    return np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+
 class Index:
-    """Examples (label, id, {term number: tf}) behind a block-max inverted index."""
+    """Examples (label, name, term numbers, term frequencies) behind a block-max inverted index."""
 
-    def __init__(self, examples: list[tuple[int, str, dict[int, int]]], idf: np.ndarray, k: int = K, prior_weight: float = PRIOR_WEIGHT, block: int = BLOCK):
+    def __init__(self, examples: list[tuple[int, str, np.ndarray, np.ndarray]], idf: np.ndarray, k: int = K, prior_weight: float = PRIOR_WEIGHT, block: int = BLOCK):
         self.idf, self.k, self.prior_weight, self.block = idf, k, prior_weight, block
-        vectors = [(y, name, self.vector(tf)) for y, name, tf in examples]
+        vectors = [(y, name, terms, self.weights(terms, tfs)) for y, name, terms, tfs in examples]
         # examples with the same heaviest term share blocks, which keeps the other blocks' bounds low
-        vectors.sort(key=lambda v: ((int(v[2][0][v[2][1].argmax()]) if len(v[2][0]) else -1), v[1]))
+        vectors.sort(key=lambda v: ((int(v[2][v[3].argmax()]) if len(v[2]) else -1), v[1]))
         self.labels = np.array([v[0] for v in vectors], dtype=np.float64)
         self.names = [v[1] for v in vectors]
         self.prior = float((self.labels.sum() + 0.5) / (len(vectors) + 1)) if vectors else 0.5
-        bare = [v[0] for v in vectors if not len(v[2][0])]
+        bare = [v[0] for v in vectors if not len(v[2])]
         self.bare = (sum(bare) + prior_weight * self.prior) / (len(bare) + prior_weight)
-        sizes = [len(v[2][0]) for v in vectors]
-        term = np.concatenate([np.zeros(0, np.int64), *(v[2][0] for v in vectors)]).astype(np.int64)
-        weight = np.concatenate([np.zeros(0), *(v[2][1] for v in vectors)])
+        sizes = [len(v[2]) for v in vectors]
+        term = np.concatenate([np.zeros(0, np.int64), *(v[2] for v in vectors)]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *(v[3] for v in vectors)])
         example = np.repeat(np.arange(len(vectors)), sizes)
         by = np.lexsort((example, term))
-        self.example, self.weight = example[by], weight[by]
+        term, self.example, self.weight = term[by], example[by].astype(np.int32), weight[by]
         self.blocks = max(1, -(-len(vectors) // block))
-        cell = term[by] * self.blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1))
-        self.top = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(len(idf), self.blocks)
-
-    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(tf), dtype=np.int64)
-        w = np.array([1 + math.log(tf[t]) for t in terms.tolist()]) * self.idf[terms]
-        return terms, w / np.sqrt((w**2).sum()) if len(w) else w
-
-    def nearest(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k highest cosines over 0, and these; of equal ones, those first in the index."""
-        terms, w = self.vector(tf)
-        if len(terms) > FEW:
-            return self._of_all(terms, w)
-        bounds = w @ self.top[terms]
-        best, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(sims) == self.k and bounds[b] < sims[-1] - 1e-9):
-                break
-            scores = np.zeros(self.block)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                at = t * self.blocks + b
-                s, e = self.start[at], self.start[at + 1]
-                scores[self.example[s:e] - b * self.block] += self.weight[s:e] * x
-            some = np.flatnonzero(scores > 0)
-            best, sims = np.concatenate([best, some + b * self.block]), np.concatenate([sims, np.round(scores[some], 9)])
-            keep = np.lexsort((best, -sims))[: self.k]
-            best, sims = best[keep], sims[keep]
-        return best, sims
-
-    def _of_all(self, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = self.start[terms * self.blocks], self.start[(terms + 1) * self.blocks]
-        sizes = high - low
-        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        scores = np.bincount(self.example[at], self.weight[at] * np.repeat(w, sizes), minlength=len(self.labels))
-        best = np.flatnonzero(scores > 0)
-        sims = np.round(scores[best], 9)
-        if len(sims) > self.k:
-            some = sims >= np.partition(sims, -self.k)[-self.k]
-            best, sims = best[some], sims[some]
-        keep = np.lexsort((best, -sims))[: self.k]
-        return best[keep], sims[keep]
-
-    def score(self, tf: dict[int, int]) -> tuple[float, list[str]]:
-        if not tf:
+        cell = term * self.blocks + self.example // block
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.posting = np.append(first, len(cell))  # of each cell (a term in a block), where its postings begin
+        self.cell_block = (cell[first] % self.blocks).astype(np.int32)
+        self.cell_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(len(idf) + 1))
+        self.slope, self.shift = 1.0, 0.0
+
+    def weights(self, terms: np.ndarray, tfs: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tfs)) * self.idf[terms]
+        return w / np.sqrt((w**2).sum()) if len(w) else w
+
+    def nearest(self, terms: np.ndarray, tfs: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Examples, but for ``without``, of the k highest cosines over 0, and these; of equal ones, those first in the index."""
+        w = self.weights(terms, tfs)
+        cells, sizes = _ranges(self.cells[terms], self.cells[terms + 1])
+        block, w = self.cell_block[cells], np.repeat(w, sizes)
+        bounds = np.bincount(block, self.cell_top[cells] * w, minlength=self.blocks)
+        scores = np.zeros(len(self.labels))
+        visit, seen, floor = np.argsort(-bounds, kind="stable")[:FIRST], np.zeros(self.blocks, dtype=bool), 1e-9
+        for _ in range(2):
+            go = np.zeros(self.blocks, dtype=bool)
+            go[visit] = True
+            own = go[block]
+            at, n = _ranges(self.posting[cells[own]], self.posting[cells[own] + 1])
+            scores += np.bincount(self.example[at], self.weight[at] * np.repeat(w[own], n), minlength=len(scores))
+            seen |= go
+            if without >= 0:
+                scores[without] = 0
+            if len(scores) > self.k:
+                floor = max(1e-9, np.partition(scores, -self.k)[-self.k] - 1e-9)
+            visit = np.flatnonzero(~seen & (bounds >= floor))
+        sims = np.round(scores, 9)
+        best = np.flatnonzero(sims > 0)
+        if len(best) > self.k:
+            best = best[sims[best] >= np.partition(sims[best], -self.k)[-self.k]]
+        best = best[np.lexsort((best, -sims[best]))[: self.k]]
+        return best, sims[best]
+
+    def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
+        return float(((sims * self.labels[best]).sum() + self.prior_weight * self.prior) / (sims.sum() + self.prior_weight))
+
+    def calibrate(self, examples: list[tuple[int, str, np.ndarray, np.ndarray]], most: int = CALIBRATION) -> None:
+        """Fits the logistic curve to the votes on about ``most`` of the examples, each without itself; a curve that falls is not taken."""
+        at = {name: i for i, name in enumerate(self.names)}
+        some = [e for e in examples[:: max(1, len(examples) // most)] if len(e[2])]
+        y = np.array([e[0] for e in some], dtype=np.float64)
+        if not len(y) or y.min() == y.max():
+            return
+        v = np.array([self.vote(*self.nearest(e[2], e[3], at[e[1]])) for e in some])
+        x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1)
+        c = np.array([1.0, 0.0])
+        for _ in range(25):  # Newton's method, drawn to the vote itself by a ridge of one
+            p = 1 / (1 + np.exp(-(x @ c)))
+            g = x.T @ (p - y) + (c - [1, 0])
+            c = c - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), g)
+        if np.isfinite(c).all() and c[0] > 0:
+            self.slope, self.shift = float(c[0]), float(c[1])
+
+    def score(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[float, list[str]]:
+        if not len(terms):
             return self.bare, []
-        best, sims = self.nearest(tf)
-        return float(((sims * self.labels[best]).sum() + self.prior_weight * self.prior) / (sims.sum() + self.prior_weight)), [self.names[i] for i in best[:EVIDENCE]]
+        best, sims = self.nearest(terms, tfs)
+        v = self.vote(best, sims)
+        return 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), [self.names[i] for i in best[:EVIDENCE]]
 
 
 class Model:
-    def __init__(self, terms: list[str], index: Index):
+    def __init__(self, terms: list[str], index: Index | None):
         self.terms, self.index = {t: i for i, t in enumerate(terms)}, index
-        self.cache: dict[tuple, tuple[float, list[str]]] = {}
+        self.cache: dict[str | None, tuple[float, list[str]]] = {}
 
-    def count(self, text: str | None) -> dict[int, int]:
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, rising, of the terms in a text, and how often each occurs."""
         found = Counter(filter(self.terms.__contains__, words(text or "")))
-        return {self.terms[w]: n for w, n in found.items()}
+        terms, tfs = np.fromiter(map(self.terms.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        by = np.argsort(terms)
+        return terms[by], tfs[by]
 
     def score(self, text: str | None) -> tuple[float, list[str]]:
-        tf = self.count(text)
-        key = tuple(sorted(tf.items()))
+        key = hash(text)
         if key not in self.cache:
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            self.cache[key] = self.index.score(tf)
+            self.cache[key] = self.index.score(*self.count(text))
         return self.cache[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, remainder: int = 2, rows: int = SAMPLE_ROWS, terms: int = TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, remainder: int = 2, rows: int = SAMPLE_ROWS) -> Model:
     """Model from about ``rows`` labelled documents outside crc32(doc_id) mod ``divisor`` = ``remainder``.
 
-    Document counts of words are made in Spark; the ``terms`` most telling words and, for each example, its counts of these come to
-    the driver. Without labelled documents the score is 0.5.
+    Document counts of words are made in Spark; the words and, for each example, its counts of these come to the driver. Without labelled documents the
+    score is 0.5, with labels of one kind their value drawn to 0.5 by half an example each.
     """
     small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs.select("doc_id", "text"), labels, label, divisor, remainder, rows).select("doc_id", "text", F.least("_label", F.lit(1)).alias("label")))
@@ -145,24 +167,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], ["word", "label"])
 
     n, n1 = (int(x or 0) for x in sample.agg(F.count(F.lit(1)), F.sum("label")).first())
-    a, b = F.sum("label"), F.count(F.lit(1)) - F.sum("label")
-    counts = sample.mapInArrow(distinct, "word string, label int").groupBy("word").agg(a.alias("a"), b.alias("b"))
-    part = lambda x, e: f"CASE WHEN {x} > 0 THEN {x} * ln({x} / ({e})) ELSE 0D END"
-    g2 = " + ".join(part(x, e) for x, e in (("a", f"(a + b) * {n1 / max(n, 1)}D"), ("b", f"(a + b) * {1 - n1 / max(n, 1)}D"), (f"({n1} - a)", f"({n} - a - b) * {n1 / max(n, 1)}D"), (f"({n - n1} - b)", f"({n} - a - b) * {1 - n1 / max(n, 1)}D")))
-    chosen = counts.withColumn("g2", F.expr(f"2 * ({g2})")).where("g2 > 1e-9").orderBy(F.desc("g2"), "word").limit(terms).collect() if 0 < n1 < n else []
-    chosen = sorted((r["word"], r["a"] + r["b"], r["g2"]) for r in chosen)
-    model = Model([w for w, _, _ in chosen], Index([], np.zeros(0)))
-    idf = np.array([(1 + math.log(n / df)) * g for _, df, g in chosen])
-    counter = Model([w for w, _, _ in chosen], None)
+    counts = sample.mapInArrow(distinct, "word string, label int").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("a")).orderBy("word").toArrow()
+    terms = counts.column("word").to_pylist()
+    df, a = (counts.column(c).to_numpy().astype(np.float64) for c in ("df", "a"))
+    idf = (1 + np.log(max(n, 1) / df)) * (g_squared(df, a, n, n1) if 0 < n1 < n else 1)
+    counter = Model(terms, None)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tf = [counter.count(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("doc_id").cast(pa.string()), pa.array([[*x] for x in tf], pa.list_(pa.int32())), pa.array([[*x.values()] for x in tf], pa.list_(pa.int32()))], ["label", "name", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("doc_id").cast(pa.string()), pa.array([x[0] for x in tf], pa.list_(pa.int64())), pa.array([x[1] for x in tf], pa.list_(pa.int64()))], ["label", "name", "terms", "tfs"])
+
+    got = sample.mapInArrow(vectors, "label int, name string, terms array<long>, tfs array<long>").toArrow()
+    examples = [(y, name, t.values.to_numpy(), f.values.to_numpy()) for y, name, t, f in zip(got.column("label").to_pylist(), got.column("name").to_pylist(), got.column("terms"), got.column("tfs"), strict=True)]
+    examples.sort(key=lambda e: e[1])
+    index = Index(examples, idf)
+    index.calibrate(examples)
+    return Model(terms, index)
+
+
+def g_squared(df: np.ndarray, a: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """G-squared, and at least a little, of words that occur in ``df`` of ``n`` examples, ``a`` of them among the ``n1`` of label 1."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0)
 
-    examples = sample.mapInArrow(vectors, "label int, name string, terms array<int>, tfs array<int>").toArrow().to_pylist()
-    model.index = Index([(r["label"], r["name"], dict(zip(r["terms"], r["tfs"], strict=True))) for r in examples], idf)
-    return model
+    rate = n1 / n
+    rest = np.maximum(n - df, 1e-12)
+    cells = part(a, df * rate) + part(df - a, df * (1 - rate)) + part(n1 - a, rest * rate) + part(n - n1 - (df - a), rest * (1 - rate))
+    return np.maximum(2 * cells, 1e-3)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
