@@ -1,17 +1,17 @@
 """Benchmark decontamination: an FM-index for each training shard, searched for the benchmark's phrases.
 
-A phrase is 10 consecutive words of a benchmark item, or all words of a shorter one. A shard is about a million words
+A phrase is 10 consecutive words of a benchmark item, or all words of a shorter one. A shard is about half a million words
 of documents. Its text is written in the benchmark's vocabulary; a word or a pair of neighbours that no phrase holds
 ends a stretch, since no phrase can lie across it, and equal stretches are indexed once. Phrases are found by backward
 search over wavelet-matrix ranks and located by sampled suffix positions; overlapping occurrences merge into spans.
 
-No shuffle: documents stream through once for each block of the benchmark, and a block holds at most ``BLOCK_BYTES`` of
-benchmark text, which bounds what is broadcast. A benchmark of one block, the usual case, is one pass.
+No shuffle: documents stream through once for each block of the benchmark. A block holds about ``BLOCK_BYTES`` of
+benchmark text; its phrases are packed arrays of some 15 times that, which bounds the driver and what is broadcast. A benchmark of one block, the
+usual case, is one pass; what a pass has found is written before the next one, so that workers hold one block at a time.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import small_batches
+from paperlake.llm.common import cut, small_batches
 from paperlake.llm.fmindex import FMIndex
 
 N = 10
-BLOCK_BYTES = 64 << 20
-SHARD_WORDS = 1_000_000
+BLOCK_BYTES = 4 << 20
+SHARD_WORDS = 500_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SPANS = "array<struct<start:int,end:int>>"
@@ -39,21 +39,30 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The benchmark's phrases as rows of word numbers, by length, each with the items that hold it."""
+    """The benchmark's phrases as rows of word numbers, by length, each with the items that hold it.
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = N):
+    ``groups``: (length, phrases as rows, where each one's items begin in the next array, item numbers).
+    """
+
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        held: dict[int, dict[tuple[int, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if ids:
+        self.names = [item for item, _ in items]
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int32)
+            if len(ids):
                 m = min(n, len(ids))
-                for phrase in {tuple(ids[i : i + m]) for i in range(len(ids) - m + 1)}:
-                    held[m][phrase].append(item)
+                rows.setdefault(m, []).append(np.lib.stride_tricks.sliding_window_view(ids, m))
+                owners.setdefault(m, []).append(np.full(len(ids) - m + 1, k, dtype=np.int32))
         self.top = len(self.vocabulary)
-        self.groups = [(m, np.array(list(p), dtype=np.int64).reshape(-1, m), list(p.values())) for m, p in sorted(held.items())]
+        self.groups = []
+        for m in sorted(rows):
+            phrases, which = np.unique(np.concatenate(rows.pop(m)), axis=0, return_inverse=True)
+            held = np.unique(np.stack([which.ravel(), np.concatenate(owners.pop(m))], axis=1), axis=0)
+            self.groups.append((m, phrases, np.searchsorted(held[:, 0], np.arange(len(phrases) + 1)), held[:, 1].astype(np.int32)))
         self.shortest = self.groups[0][0] if self.groups else 0
-        pairs = [np.unique(p[:, :-1] * (self.top + 1) + p[:, 1:]) for m, p, _ in self.groups if m > 1]
+        pairs = [np.unique(p[:, :-1].astype(np.int64) * (self.top + 1) + p[:, 1:]) for m, p, _, _ in self.groups if m > 1]
         self.pairs = np.unique(np.concatenate([*pairs, np.zeros(0, dtype=np.int64)]))
         self.singles = self.groups[0][1][:, 0] if self.shortest == 1 else np.zeros(0, dtype=np.int64)
         self.sieve = np.zeros(1 << 22, dtype=bool)
@@ -87,7 +96,7 @@ class Phrases:
         return start[long_], end[long_]
 
 
-def occurrences(phrases: Phrases, stretches: list[np.ndarray]) -> list[tuple[int, int, int, list[str]]]:
+def occurrences(phrases: Phrases, stretches: list[np.ndarray]) -> list[tuple[int, int, int, list[str | None]]]:
     """(stretch, start, end, items) of every occurrence of a phrase, through an FM-index over the stretches."""
     if not stretches or not phrases.groups:
         return []
@@ -97,14 +106,14 @@ def occurrences(phrases: Phrases, stretches: list[np.ndarray]) -> list[tuple[int
     for o, s in zip(offset, stretches, strict=True):
         text[o : o + len(s)] = s
     index, out = FMIndex(text, phrases.top), []
-    for m, patterns, items in phrases.groups:
+    for m, patterns, first, items in phrases.groups:
         low, high = index.search(patterns)
         n = high - low
         which = np.repeat(np.arange(len(patterns)), n)
         rows = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
         at = index.locate(rows)
         stretch = np.searchsorted(offset, at, side="right") - 1
-        out += [(s, a, a + m, items[w]) for s, a, w in zip(stretch.tolist(), (at - offset[stretch]).tolist(), which.tolist(), strict=True)]
+        out += [(s, a, a + m, [phrases.names[i] for i in items[first[w] : first[w + 1]]]) for s, a, w in zip(stretch.tolist(), (at - offset[stretch]).tolist(), which.tolist(), strict=True)]
     return out
 
 
@@ -118,18 +127,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def search_shard(phrases: Phrases, ids: np.ndarray, starts: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+def search_shard(phrases: Phrases, ids: np.ndarray, starts: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str | None]]]:
     """Of a shard given as one row of word numbers, 0 after each document: by document, merged spans and items."""
     begin, end = phrases.stretches(ids)
     distinct: dict[bytes, int] = {}
     which = [distinct.setdefault(ids[a:b].tobytes(), len(distinct)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
     for s, a, b, items in occurrences(phrases, [np.frombuffer(x, dtype=ids.dtype) for x in distinct]):
         f = found.setdefault(s, ([], set()))
         f[0].append((a, b))
         f[1].update(items)
     found = {s: (merged(spans), items) for s, (spans, items) in found.items()}
-    out: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    out: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
     docs = np.searchsorted(starts, begin, side="right") - 1
     for s, d, a in zip(which, docs.tolist(), (begin - starts[docs]).tolist() if len(begin) else [], strict=True):
         if s in found:
@@ -139,7 +148,9 @@ def search_shard(phrases: Phrases, ids: np.ndarray, starts: np.ndarray) -> dict[
     return out
 
 
-def _scan(phrases: Phrases, text: str, keep: list[str], earlier: bool):
+def _scan(phrases: Phrases, text: str, finish, found: tuple[str, str] | None = None):
+    """``finish(batch, word counts, spans, items)`` of every Arrow batch; ``found`` names columns of spans and items that an earlier pass has left."""
+
     def shard(rows: list[pa.RecordBatch], flat: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
         ids = np.fromiter(map(phrases.vocabulary.get, flat, repeat(0)), np.int32, len(flat))
         sizes = np.array(counts, dtype=np.int64) + 1
@@ -149,13 +160,12 @@ def _scan(phrases: Phrases, text: str, keep: list[str], earlier: bool):
             spans, items = [], []
             for i in range(batch.num_rows):
                 s, x = hits.get(at + i, ([], ()))
-                if earlier:
-                    s = merged(s + [(p["start"], p["end"]) for p in batch.column("spans")[i].as_py()])
-                    x = set(x) | set(batch.column("items")[i].as_py())
-                spans.append([{"start": a, "end": b} for a, b in s])
-                items.append(sorted(x))
-            arrays = [batch.column(c) for c in keep] + [pa.array(counts[at : at + batch.num_rows], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "spans", "items"])
+                if found:
+                    s = s + [(p["start"], p["end"]) for p in batch.column(found[0])[i].as_py()]
+                    x = set(x) | set(batch.column(found[1])[i].as_py())
+                spans.append(merged(s))
+                items.append(sorted(i for i in x if i is not None))
+            yield finish(batch, counts[at : at + batch.num_rows], spans, items)
             at += batch.num_rows
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +178,7 @@ def _scan(phrases: Phrases, text: str, keep: list[str], earlier: bool):
                 flat += ws
                 flat.append(b"")
                 counts.append(len(ws))
-            rows.append(batch.select([*keep, "spans", "items"] if earlier else keep))
+            rows.append(batch)
             if len(flat) >= SHARD_WORDS:
                 yield from shard(rows, flat, counts)
                 rows, flat, counts = [], [], []
@@ -178,27 +188,49 @@ def _scan(phrases: Phrases, text: str, keep: list[str], earlier: bool):
     return scan
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, n: int, block_bytes: int, finish, schema: T.StructType) -> DataFrame:
+    """``finish`` over the documents and what all blocks of the benchmark find in them."""
+    small_batches(docs.sparkSession)
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
+    blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    own = [f.name for f in docs.schema.fields]
+    names = ("spans_so_far", "items_so_far")
+    while set(names) & set(own):
+        names = tuple(f"_{x}" for x in names)
+    more = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"{names[0]} {SPANS}, {names[1]} array<string>").fields])
+
+    def carry(batch: pa.RecordBatch, counts: list[int], spans: list, items: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), _spans(spans), pa.array(items, pa.list_(pa.string()))], [*own, *names])
+
+    for b in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        phrases = Phrases(sorted(((r["item"], bytes(r["text"])) for r in block.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or "", x[1])), n)
+        found = names if b else None
+        if b < blocks - 1:
+            docs = cut(docs.mapInArrow(_scan(phrases, text, carry, found), more))
+        else:
+            return docs.mapInArrow(_scan(phrases, text, finish, found), schema)
+
+
+def _spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all) with n_words, spans and items.
 
     ``spans``: word positions [start, end) of merged occurrences, ``items``: ids, as text and sorted, of the benchmark items (item_id,
-    text) of which a phrase occurs. Null and empty texts have no words and no phrases; a null item id is ignored.
-    Columns of docs with one of the three names are replaced; an empty benchmark finds nothing.
+    text) of which a phrase occurs. An item without an id hits words like any other and is not among the items; items of one id are one
+    item with the phrases of all. Null and empty texts have no words and no phrases. Columns of docs with one of the three names are replaced;
+    an empty benchmark finds nothing. Repeated rows stay.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("n_words", "spans", "items")]
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
-    blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    docs = docs.select(*dict.fromkeys([*keep, text]))
-    small_batches(docs.sparkSession)
-    for b in range(blocks):
-        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        phrases = Phrases(sorted((r["item"], bytes(r["text"])) for r in block.collect()), n)
-        last = b == blocks - 1
-        out = keep if last else docs.columns[: len(dict.fromkeys([*keep, text]))]
-        fields = [docs.schema[c] for c in out]
-        schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"spans {SPANS}, items array<string>").fields])
-        docs = docs.mapInArrow(_scan(phrases, text, list(out), earlier=b > 0), schema)
-    return docs
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"spans {SPANS}, items array<string>").fields])
+
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list, items: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], [*keep, "n_words", "spans", "items"])
+
+    return _passes(docs.select(*dict.fromkeys([*keep, text])), benchmark, text, n, block_bytes, finish, schema)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -212,22 +244,18 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[last:]]).decode("utf-8", "surrogatepass")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, min_left: int = 1) -> DataFrame:
-    """``docs`` with the benchmark's spans cut out of their texts; a contaminated document left with under ``min_left`` words goes."""
-    found = find(docs, benchmark, text=text, n=n)
-    fields = [*docs.schema.fields]
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, min_left: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``, all its columns, with the benchmark's spans cut out of their texts; a contaminated document left with under ``min_left`` words goes."""
+    names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            if any(spans):
-                texts, stays = batch.column(text).to_pylist(), []
-                for i, s in enumerate(spans):
-                    if s:
-                        texts[i] = cut_spans(texts[i], [(p["start"], p["end"]) for p in s])
-                    stays.append(not s or batch.column("n_words")[i].as_py() - sum(p["end"] - p["start"] for p in s) >= min_left)
-                arrays = [pa.array(texts, pa.string()) if f.name == text else batch.column(f.name) for f in fields]
-                batch = pa.RecordBatch.from_arrays(arrays, [f.name for f in fields]).filter(pa.array(stays))
-            yield batch.select([f.name for f in fields])
-
-    return found.mapInArrow(cut, docs.schema)
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list, items: list) -> pa.RecordBatch:
+        if not any(spans):
+            return batch.select(names)
+        texts = batch.column(text).to_pylist()
+        for i, s in enumerate(spans):
+            if s:
+                texts[i] = cut_spans(texts[i], s)
+        stays = [not s or c - sum(b - a for a, b in s) >= min_left for s, c in zip(spans, counts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names).filter(pa.array(stays))
+
+    return _passes(docs, benchmark, text, n, block_bytes, finish, docs.schema)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperlake.llm import decontam, minhash, rlbwt
 from paperlake.llm.components import components
@@ -43,7 +44,7 @@ def contaminated(docs, items, n):
         w = fold(t)
         m = min(n, len(w))
         for k in range(len(w) - m + 1) if m else ():
-            phrases.setdefault(tuple(w[k : k + m]), set()).add(str(i))
+            phrases.setdefault(tuple(w[k : k + m]), set()).update([str(i)] if i is not None else [])
     sizes = {len(p) for p in phrases}
     for d, t in docs:
         w, hit, found = fold(t), set(), set()
@@ -60,11 +61,11 @@ def contaminated(docs, items, n):
 def test_decontamination(spark, block):
     rng = random.Random(4)
     v = ["a", "B", "c1", "é", "dd"]
-    items = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 9)))) for i in range(12)] + [(50, "solo"), (51, None), (None, "a a")]
-    docs = [(i, ", ".join(rng.choice([*v, "zz", "solo"]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(900, None), (901, ""), (902, "solo"), (903, "a " * 5000)]
+    items = [(i, " ".join(rng.choice(v) for _ in range(rng.randint(0, 9)))) for i in range(12)] + [(50, "solo"), (51, None), (None, "a a"), (7, "B c1 é"), (7, "B c1 é"), (None, "zz zz zz zz a")]
+    docs = [(i, ", ".join(rng.choice([*v, "zz", "solo"]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(900, None), (901, ""), (902, "solo"), (903, "a " * 5000), (902, "solo")]
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, spans int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    expected = contaminated(docs, [i for i in items if i[0] is not None], 5)
+    expected = contaminated(docs, items, 5)
     got = decontam.find(df, bench, keep=["doc_id"], n=5, block_bytes=block).collect()
     assert {r["doc_id"]: (r["n_words"], {p for s in r["spans"] for p in range(s["start"], s["end"])}, r["items"]) for r in got} == expected
     assert decontam.find(df, bench.limit(0), keep=["doc_id"]).where("size(spans) > 0").count() == 0
@@ -75,6 +76,10 @@ def test_removal(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
     df = spark.createDataFrame([(1, "Keep this. One, two; THREE! And that."), (2, "one two three"), (3, None)], "doc_id int, text string")
     assert {r["doc_id"]: r["text"] for r in decontam.remove(df, bench).collect()} == {1: "Keep this. ! And that.", 3: None}
+    more = df.withColumns({"spans": F.lit("x"), "items": F.lit(1), "n_words": F.lit(True), "spans_so_far": F.lit(2.5)})
+    bench = bench.union(spark.createDataFrame([(None, "keep this"), (4, "and that")], bench.schema))
+    got = decontam.remove(more, bench, block_bytes=10)
+    assert got.columns == more.columns and sorted((r["doc_id"], r["text"], r["spans"], r["items"], r["n_words"], r["spans_so_far"]) for r in got.collect()) == [(3, None, "x", 1, True, 2.5)]
 
 
 def test_matching_statistics():
