@@ -2,8 +2,8 @@
 
 A document is its UTF-8 bytes. Filters over 8 consecutive bytes slide over all of it; each chunk of 512 positions, half
 overlapping the next, keeps every filter's maximum; a small dense layer turns a chunk's maxima into a logit, and the mean over all
-chunks gives the document's probability. Training is by gradient descent on chunks of a bounded sample of labelled documents;
-for prediction the embedding and the filters fold into lookup tables of byte pairs.
+chunks gives the document's probability. Training is by gradient descent on all chunks of a bounded sample of labelled documents, each document
+with the same weight whatever its length; for prediction the embedding and the filters fold into lookup tables of byte pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql import types as T
 
 from paperlake.llm.common import labelled_sample, small_batches
 
-SAMPLE_ROWS = 4000
-CHUNKS_PER_ROW = 4
+SAMPLE_ROWS = 2000
 WIDTH, BLOCK = 8, 256
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
-EPOCHS, BATCH, RATE = 9, 64, 0.004
+EPOCHS, BATCH, RATE = 6, 64, 0.004
 SLAB = 64 * BLOCK
 
 
@@ -31,11 +30,9 @@ def padded(data: bytes) -> int:
     return max(2, -(-(len(data) + WIDTH - 1) // BLOCK)) * BLOCK
 
 
-def chunks_of(data: bytes, most: int = CHUNKS_PER_ROW) -> list[bytes]:
-    """At most ``most`` chunks, evenly spaced from the start to the end of the document."""
-    blocks = padded(data) // BLOCK - 1
-    at = sorted({round(i * (blocks - 1) / max(1, most - 1)) for i in range(most)})
-    return [data[b * BLOCK : (b + 2) * BLOCK + WIDTH - 1] for b in at]
+def chunks_of(data: bytes) -> list[bytes]:
+    """All chunks from the start to the end of the document."""
+    return [data[b * BLOCK : (b + 2) * BLOCK + WIDTH - 1] for b in range(padded(data) // BLOCK - 1)]
 
 
 class Network:
@@ -53,7 +50,8 @@ class Network:
         """Maxima and their places for bytes x (chunks x length)."""
         emb = self.p["e"][x]
         n = x.shape[1] - WIDTH + 1
-        conv = sum(emb[:, j : j + n] @ self.p["w"][j] for j in range(WIDTH)) + self.p["b"]
+        windows = np.lib.stride_tricks.sliding_window_view(emb.reshape(len(x), -1), WIDTH * EMBEDDING, axis=1)[:, ::EMBEDDING]
+        conv = (windows.reshape(-1, WIDTH * EMBEDDING) @ self.p["w"].reshape(WIDTH * EMBEDDING, FILTERS)).reshape(len(x), n, FILTERS) + self.p["b"]
         at = conv.argmax(axis=1)
         return np.take_along_axis(conv, at[:, None], axis=1)[:, 0], at
 
@@ -63,8 +61,9 @@ class Network:
         h = np.maximum(a @ self.p["h"] + self.p["hb"], 0)
         return a, h, h @ self.p["o"] + self.p["ob"]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> None:
-        """Adam on the log loss; the maximum passes a gradient to one window per filter and chunk."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> None:
+        """Adam on the log loss, chunks weighted; the maximum passes a gradient to one window per filter and chunk."""
+        weight = np.ones(len(x), dtype=np.float32) if weight is None else weight.astype(np.float32)
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         t = 0
@@ -75,7 +74,7 @@ class Network:
                 xb, yb = x[rows], y[rows]
                 pooled, at = self._pool(xb)
                 a, h, z = self._head(pooled, np.minimum(1, (xb > 0).sum(axis=1) / (2 * BLOCK)))
-                dz = (1 / (1 + np.exp(-z)) - yb) / len(rows)
+                dz = (1 / (1 + np.exp(-z)) - yb) * weight[rows] / len(rows)
                 g = {"o": h.T @ dz, "ob": dz.sum()}
                 dh = dz[:, None] * self.p["o"] * (h > 0)
                 g |= {"h": a.T @ dh, "hb": dh.sum(axis=0)}
@@ -128,17 +127,17 @@ class Network:
         return 1 / (1 + np.exp(-(np.add.reduceat(z, first - np.arange(len(n))) / (n - 1)).astype(np.float64)))
 
 
-def with_fragments(x: np.ndarray, y: np.ndarray, share: float = 0.3, longest: int = 80, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def with_fragments(x: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float = 0.3, longest: int = 80, seed: int = 11) -> tuple[np.ndarray, ...]:
     """Chunks and, for a share of them, a copy cut off after 1 to ``longest`` bytes, so that being short is no sign of either label."""
     rng = np.random.default_rng(seed)
-    short = x[rng.random(len(x)) < share].copy()
-    labels = y[np.random.default_rng(seed).random(len(x)) < share]
+    at = np.flatnonzero(rng.random(len(x)) < share)
+    short = x[at].copy()
     short[np.arange(x.shape[1])[None, :] >= rng.integers(1, longest, len(short))[:, None]] = 0
-    return np.concatenate([x, short]), np.concatenate([y, labels])
+    return np.concatenate([x, short]), np.concatenate([y, y[at]]), np.concatenate([weight, weight[at]])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, remainder: int = 0, rows: int = SAMPLE_ROWS) -> Network:
-    """Network from about ``rows`` labelled documents outside crc32(doc_id) mod ``divisor`` = ``remainder``; of each, ``CHUNKS_PER_ROW`` chunks come to the driver.
+    """Network from about ``rows`` labelled documents outside crc32(doc_id) mod ``divisor`` = ``remainder``, all chunks of which come to the driver.
 
     Without labelled documents the network answers 0.5, with labels of one kind their value drawn to 0.5 by one example each.
     """
@@ -147,27 +146,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: i
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, c, y) for i, t, y in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("_label").to_pylist(), strict=True) for c in chunks_of(t or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "chunk", "label"])
-
-    got = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(take, "doc_id long, chunk binary, label int").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["chunk"]))
-    y = np.array([r["label"] > 0 for r in got], dtype=np.float32)
-    net = Network(float(y.mean()) if len(y) else 0.5)
+            got = [(i, c, y, len(chunks)) for i, t, y in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("_label").to_pylist(), strict=True) for chunks in [chunks_of(t or b"")] for c in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["doc_id", "chunk", "label", "of"])
+
+    got = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(take, "doc_id long, chunk binary, label int, of int").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("chunk", "ascending")])
+    y = (got.column("label").to_numpy() > 0).astype(np.float32)
+    weight = 1 / np.maximum(1, got.column("of").to_numpy())
+    net = Network(float((y * weight).sum() / weight.sum()) if len(y) else 0.5)
     if not len(y) or y.min() == y.max():
-        net.constant = float((y.sum() + 1) / (len(y) + 2))
+        ones, documents = (float(round((v * weight).sum())) for v in (y, np.ones(len(y))))
+        net.constant = (ones + 1) / (documents + 2)
         return net
-    x = np.frombuffer(b"".join(r["chunk"].ljust(2 * BLOCK + WIDTH - 1, b"\0") for r in got), dtype=np.uint8).reshape(len(got), -1)
-    x, y = with_fragments(x, y)
-    net.fit(x, y)
+    x = np.frombuffer(b"".join(c.ljust(2 * BLOCK + WIDTH - 1, b"\0") for c in got.column("chunk").to_pylist()), dtype=np.uint8).reshape(len(y), -1)
+    net.fit(*with_fragments(x, y, weight / weight.mean()))
     return net
 
 
-def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``score``; null texts count as empty, and empty texts are scored like any other."""
+def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``out``, the score; null texts count as empty, and empty texts are scored like any other. A column named as ``out`` is replaced."""
     small_batches(docs.sparkSession)
-    keep = [c for c in keep if c != "score"]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    keep = [c for c in keep if c != out]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
@@ -183,6 +183,6 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text")
                     part, size = [], 0
             if part:
                 scores += net.score(part, tables).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, out])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
