@@ -4,8 +4,8 @@ The script of a word narrows the candidate languages; each word has a score per
 its character trigrams; Viterbi over the words, with a penalty for each switch, labels spans. A document whose best
 language no run of words can beat by half the penalty needs no search: the best path is that language throughout.
 
-The model is learned from a bounded sample of documents per language and from at most ``VOCABULARY`` words; prediction
-streams whole texts through Arrow batches without a shuffle.
+The model is learned from a bounded sample of documents of every language and from at most ``VOCABULARY`` words of each, the most frequent ones;
+prediction streams whole texts through Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperlake.llm.common import held_out, small_batches
 
 SAMPLE_PER_LANGUAGE = 800
-VOCABULARY = 150_000
-LANGUAGES = 512
+VOCABULARY = 50_000
 PENALTY = 8.0
 CACHE = 300_000
 UNDETERMINED = "und"
@@ -156,16 +155,21 @@ def label_words(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.nda
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, vocabulary: int = VOCABULARY) -> Model:
-    """Model from about ``per_language`` documents of each language, chosen by a hash of the text, and their ``vocabulary`` most frequent words."""
+    """Model from about ``per_language`` different texts of each language, chosen by a hash of the text, and the ``vocabulary`` most frequent words of each.
+
+    The shares are of different texts, so that a language of few texts in many copies is not left without any. The driver gets a number for
+    each language and the words that the model holds.
+    """
     docs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return Model([])
-    share = F.create_map(*(F.lit(x) for lang_, n in counts.items() for x in (lang_, int(min(1.0, per_language / n) * (1 << 30)))))
+    share = F.create_map(*(F.lit(x) for lang_, n in sorted(counts.items()) for x in (lang_, int(min(1.0, per_language / max(1, n)) * (1 << 30)))))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    rows = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word", "lang").limit(vocabulary).collect()
-    return Model([(r["lang"], r["word"], r["n"]) for r in rows])
+    ranked = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    got = ranked.where(F.col("rank") <= vocabulary).orderBy("lang", "rank").select("lang", "word", "n").toArrow()
+    return Model(list(zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", penalty: float = PENALTY) -> DataFrame:
