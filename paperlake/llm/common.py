@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` dealt to all cores where its input is small and comes in fewer splits than there are cores, as one file of one row group does.
+
+    An input of more than ``split_bytes`` for each core stays as it is, and so does one that has splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size < cores * split_bytes and df.select(F.spark_partition_id()).distinct().count() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

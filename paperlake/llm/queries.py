@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm import decontam, langid, linededup, minhash, mixing, quality, rlbwt, toxicity, urlrules, winnow
-from paperlake.llm.common import held_out, read
+from paperlake.llm.common import held_out, read, spread
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 THRESHOLD = 0.3
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 3, 1))
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 3, 1))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -25,43 +29,43 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = decontam.find(documents(spark, sf_dir, "doc_id", "text"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.edited_fingerprints(read(spark, sf_dir, "documents"))
+    return winnow.edited_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rlbwt.remove_repeats(read(spark, sf_dir, "documents"))
+    found = rlbwt.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
     text = F.make_valid_utf8(F.col("kept").cast("string"))  # for reading; a character that a cut goes through is U+FFFD here
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"), text.alias("text"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.predict(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
     net = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.predict(docs, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = linededup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = linededup.drop_lines(documents(spark, sf_dir, "doc_id", "source", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -85,7 +89,7 @@ ms AS (SELECT DISTINCT m FROM bw),
 dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms WHERE len(w) >= m)),
 hits AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, phrase)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hits)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
