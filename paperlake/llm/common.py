@@ -30,7 +30,7 @@ def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
     An input of more than ``split_bytes`` for each core stays as it is, and so does one that has splits enough.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < cores * split_bytes and df.select(F.spark_partition_id()).distinct().count() < cores:
         return df.repartition(cores)
     return df

@@ -62,8 +62,15 @@ def winnow_one(text, k=winnow.K, w=winnow.W):
     h = [spark_hash([t.encode()]) for t in re.findall(r"\S{1,12}", (text or "").lower())]
     if not h:
         return []
-    grams = [spark_hash(h)] if len(h) < k else [spark_hash(h[i : i + k]) for i in range(len(h) - k + 1)]
-    top = [(g & (1 << 64) - 1) >> 28 for g in grams]
+    h = [x % winnow.PRIME for x in h]
+
+    def value(part):
+        total = 0
+        for x in part:
+            total = total * winnow.BASE + x
+        return total % winnow.PRIME
+
+    top = [value(h)] if len(h) < k else [value(h[i : i + k]) for i in range(len(h) - k + 1)]
     picks = []
     for i in range(max(1, len(top) - w + 1)):
         part = top[i : i + w]
@@ -77,8 +84,9 @@ def test_fingerprints_brute_force(spark):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "Delta", "é", "a" * 30, "x"]
     texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for i in range(0, 60, 2)} | {-5: None, 1000: "", 1001: "ab", 999: "same text here now", 998: "same text here now"}
+    texts[2000] = " ".join(rng.choice(words) for _ in range(3000))
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, fp string")
-    docs = winnow.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"], per_bucket=7)
+    docs = winnow.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"], "text", per_bucket=7)
     order = sorted(texts, reverse=True)
     nxt = {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
     assert {r["doc_id"]: r["next_text"] for r in docs.collect()} == {i: texts[nxt[i]] or "" for i in texts}
@@ -96,6 +104,23 @@ def test_fingerprints_brute_force(spark):
     assert got[999]["fingerprint"] == got[998]["fingerprint"] and got[999]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize(("per_bucket", "most"), [(7, 16384), (7, 3), (1000, 16384)])
+def test_next_of_repeated_ids(spark, per_bucket, most):
+    """A third of the rows without an id and a third of one id: the next rows make one circle through all, ids falling."""
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else rng.randint(-90, 190) * 2 + 1, f"t{i}") for i in range(150)]
+    df = winnow.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"], "text", per_bucket, most)
+    got = {r["text"]: (r["doc_id"], r["next_text"]) for r in df.collect()}
+    assert len(got) == 150
+    key = lambda t: -(1 << 63) if got[t][0] is None else got[t][0]
+    at, seen, rises = "t2", [], 0
+    while at not in seen:
+        seen.append(at)
+        rises += key(got[at][1]) > key(at)
+        at = got[at][1]
+    assert at == "t2" and len(seen) == 150 and rises == 1
+
+
 def test_fingerprints_small_tables(spark):
     schema = "doc_id long, text string"
     assert winnow.edited_fingerprints(spark.createDataFrame([], schema)).count() == 0
