@@ -5,21 +5,21 @@ counted by exact length, every length gives its proportional share of documents,
 program over the lengths' remaining counts fits the rest of the budget. Which documents of a length are taken is
 decided by a seeded hash.
 
-What a task or the driver holds does not grow with the documents: the program sees one source's lengths and counts,
-the driver sees nothing. Documents of one source and length are split by their hash, so that a length that a third of all
+What a task or the driver holds does not grow with the documents or the sources: the program sees one source's lengths and counts,
+the driver one row of sums at a time. Documents of one source and length are split by their hash, so that a length that a third of all
 documents share is ranked in many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import cut
+from paperlake.llm.common import cut, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
@@ -30,21 +30,59 @@ SLICES = 1024
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
     """source, source_size, target for a frame of one row per source (source, source_size).
 
-    Sources in code point order, null last, weigh 1, 2, 3 and again. The shares of the sum that these weights give are capped at ``repeats`` times
-    the source's size and the excess goes to the others by weight, again and again; the fixed point is a common level x
-    with target = min(cap, weight * x), found by sorting on cap / weight: the sources capped are those with the lowest.
+    Sources in code point order, null last, weigh 1, 2, 3 and again. A source's share of the sum by weight is weight * level; while a share is above
+    ``repeats`` times its source's size, it stops there and the level rises for the others by what it leaves. Each round is one row of sums, and a source that
+    has stopped stays so, so the rounds end.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    df = sizes.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))).cast("double"))
-    df = df.withColumn("cap", (F.col("source_size") * repeats).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    df = df.withColumn("all_size", F.sum("source_size").over(everything).cast("double")).withColumn("all_weight", F.sum("weight").over(everything))
-    capped, used = F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.sum("weight").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("place", F.row_number().over(by_ratio)).withColumn("level", (F.col("all_size") - F.coalesce(capped, F.lit(0.0))) / (F.col("all_weight") - F.coalesce(used, F.lit(0.0))))
-    # the level if all before this source are capped and neither it nor a later one is; the true one is the first that this source's ratio is not below
-    df = df.withColumn("x", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything))
-    return df.select("source", "source_size", F.when(F.col("x").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("x.level"))).alias("target"))
+    df = numbered(sizes, "place", F.col("source").isNull(), F.col("source"))
+    df = df.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod("place", F.lit(len(weights))).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * repeats)
+    df = cut(df.select("source", "source_size", "weight", "cap"))
+    total, level, stopped = df.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        above = F.col("cap") < F.col("weight") * F.lit(level)
+        n, capped, weight = df.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
+        if n == stopped or not weight:
+            return df.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+        stopped, level = n, (total - capped) / weight
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length, at most ``counts``, give the largest sum that is not above the budget.
+
+    Bits of a number are the sums that can be made; each step adds a power-of-two bundle of one length. Only every so manieth of these numbers is
+    kept, and those between are made again on the way back, so the memory is that of twice the root of the steps.
+    """
+    take = np.zeros(len(lengths), dtype=np.int64)
+    steps: list[tuple[int, int]] = []
+    for i, (a, c) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
+        left, bundle = min(c, budget // a), 1
+        while left > 0:
+            n = min(bundle, left)
+            steps.append((i, n))
+            left, bundle = left - n, bundle * 2
+    mask, stride = (1 << (budget + 1)) - 1, max(1, math.isqrt(len(steps)))
+
+    def after(reach: int, step: tuple[int, int]) -> int:
+        return reach | reach << step[1] * int(lengths[step[0]]) & mask
+
+    kept, reach, done = [], 1, 0
+    for k, step in enumerate(steps):
+        if reach >> budget & 1:
+            break
+        if k % stride == 0:
+            kept.append(reach)
+        reach, done = after(reach, step), k + 1
+    at = reach.bit_length() - 1
+    for block in range(len(kept) - 1, -1, -1):
+        low, high = block * stride, min(done, (block + 1) * stride)
+        before = [kept[block]]
+        for step in steps[low : high - 1]:
+            before.append(after(before[-1], step))
+        for (i, n), reach in zip(reversed(steps[low:high]), reversed(before), strict=True):
+            if not reach >> at & 1:
+                take[i] += n
+                at -= n * int(lengths[i])
+    return take
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -67,22 +105,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(counts[i] - take[i]), max(0, rest - 2 * longest) // int(lengths[i]), 1)
         take[i] += n
         rest -= n * int(lengths[i])
-    # bits of `reach` are the sums that can be made; each step adds a power-of-two bundle of one length
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for i in order[::-1]:
-        left, bundle = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1
-        while left > 0 and not reach >> rest & 1:
-            n = min(bundle, left)
-            steps.append((i, n, reach))
-            reach |= reach << n * int(lengths[i]) & mask
-            left, bundle = left - n, bundle * 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(lengths[i])
+    back = order[::-1]
+    take[back] += knapsack(lengths[back], (counts - take)[back], rest)
     return take
 
 

@@ -140,6 +140,21 @@ def test_fingerprints_of_unspaced_text(spark):
         assert min(r[0] for r in df.select(winnow.likeness("x", "y")).collect()) > 0.95
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.floats(0, 1))
+def test_knapsack_is_the_best(counts, share):
+    """Against every sum that can be made."""
+    import numpy as np
+
+    lengths, n = np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)])
+    budget = int((lengths * n).sum() * share)
+    sums = {0}
+    for a, c in zip(lengths.tolist(), n.tolist(), strict=True):
+        sums = {x + a * k for x in sums for k in range(c + 1)}
+    take = mixing.knapsack(lengths, n, budget)
+    assert (take >= 0).all() and (take <= n).all() and (lengths * take).sum() == max(x for x in sums if x <= budget)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.floats(0, 1))
 def test_fit_is_near_the_best(counts, share):
