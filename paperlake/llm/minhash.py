@@ -10,7 +10,7 @@ different components are compared further: first those drop out whose shingles,
 are too few for any link; then all that is left of a bucket is compared in blocks, as products of matrices. So every pair that
 shares a bucket is compared exactly, is connected already, or is provably below the threshold, while the pairs of a group are never
 rows: comparisons with leaders stream sorted rows, a leader's text before its members', in salted runs of bounded length, and
-two blocks give at most one edge per document.
+two blocks give at most one edge per document. A bucket of many documents is dealt to many tasks wherever its rows are joined.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import cut, shuffle_partitions, small_batches
+from paperlake.llm.common import cut, salted, small_batches
 from paperlake.llm.components import components
 
 SHINGLE = 5
@@ -130,10 +130,10 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     A row for each pair carries b's text; a's text goes once to each run of about ``RUN`` of its pairs. Rows sorted by run stream
     through, a's first, so a task holds one set of a and an Arrow batch.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs")))
     heads = sizes.join(texts.hint("merge"), F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     members = pairs.join(sizes, "a").withColumn("run", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int")).join(texts.hint("merge"), F.col("b") == F.col("id")).select("a", "run", F.lit(1).alias("role"), "b", "text")
-    rows = heads.unionByName(members).repartition(shuffle_partitions(pairs.sparkSession), "a", "run").sortWithinPartitions("a", "run", "role")
+    rows = heads.unionByName(members).repartition("a", "run").sortWithinPartitions("a", "run", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, head, own = _Hashes(), None, None
@@ -203,19 +203,20 @@ def joined(sets: list[np.ndarray], left: int, percent: int) -> np.ndarray:
 
 
 def compare_clusters(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that connect what is linked among members (bucket, id, n) of the same cluster of overlapping buckets.
+    """Edges (a, b) that connect what is linked among members (bucket, id, n, size) of the same cluster of overlapping buckets.
 
     All pairs of a cluster are compared, in blocks: its documents are dealt by a hash to blocks of about ``BLOCK_SHINGLES`` shingles, and each
     two blocks meet in one task, which gives back at most one edge for each of their documents.
     """
-    low = members.groupBy("bucket").agg(F.min("id").alias("b"))
-    clusters = components(members.join(low, "bucket").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "cluster")
+    low = members.groupBy("bucket").agg(F.min("id").alias("b"), F.first("size").alias("size"))
+    clusters = components(salted(members, low, "bucket", "size", "id", RUN).select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "cluster")
     docs = clusters.join(members.select("id", "n").distinct(), "id")
-    blocks = docs.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    docs = cut(docs)
+    blocks = cut(docs.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     docs = docs.join(blocks, "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     docs = docs.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = docs.join(texts, "id").select("cluster", F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j"), "k", "id", "text")
-    rows = rows.repartition(shuffle_partitions(members.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "k")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "k")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key, ids, sides, sets = _Hashes(), None, [], [], []
@@ -253,16 +254,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     full = signed.where("id IS NOT NULL AND digest IS NOT NULL")
     nodes = cut(full.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), *(F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS))))
     bands = nodes.select("id", "n", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1")
+    shared = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1"))
     members = cut(bands.join(shared, "bucket"))
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    members = cut(members.join(score, "id").select("bucket", "id", "n", "least", F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).toDF("bucket", "id", "n", "least", "score"))
+    members = cut(members.join(score, "id").withColumn("score", F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))))
     wanted = members.select("id").distinct()
     texts = cut(docs.join(wanted.hint("merge"), "id").join(nodes.select("id", "n"), "id").dropDuplicates(["id"]).select("id", "text"))
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
 
-    leaders = members.groupBy("bucket").agg(F.max_by("id", "score").alias("a"), F.max_by("n", "score").alias("m"))
-    pairs = members.join(leaders, "bucket").where("id <> a").where(fits).select("a", F.col("id").alias("b")).distinct()
+    leaders = cut(members.groupBy("bucket").agg(F.max_by("id", "score").alias("a"), F.max_by("n", "score").alias("m"), F.first("size").alias("size")))
+    pairs = salted(members, leaders, "bucket", "size", "id", RUN).where("id <> a").where(fits).select("a", F.col("id").alias("b")).distinct()
     edges = cut(verify(cut(pairs), texts, percent))
     members = members.join(leaders.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti")
     labels = components(edges)
@@ -270,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     def unsettled(m: DataFrame) -> DataFrame:
         """Members, with their component, of buckets whose members are of several components."""
         m = m.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").withColumn("c", F.coalesce("component", "id")).drop("_id", "component")
-        open_ = m.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-        return cut(m.join(open_, "bucket"))
+        open_ = m.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.first("size").alias("size")).where("low < high").select("bucket", "size")
+        return cut(salted(m, open_, "bucket", "size", "id", RUN))
 
     open_ = unsettled(members)
     if not open_.isEmpty():
@@ -284,6 +285,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         labels = components(edges)
 
     to = nodes.select("digest", F.col("id").alias("node")).join(labels, F.col("node") == F.col("id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("component"))
+    to = cut(to)
     out = signed.select("id", "n", "digest").join(to, F.col("digest") == F.col("_digest"), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -4,8 +4,8 @@ Every word of a bounded sample of labelled documents is a term. A document is a
 G-squared of a word's presence against the label, as a supervised term weight, lets telling words outweigh the many others. Postings are cut into
 blocks of examples, and each term has its largest weight per block; a query adds these up to a bound for every block, visits
 the blocks of the highest bounds, and then only those that can still reach its k-th best, which gives the exact neighbours. The k
-nearest vote with their cosines; the examples' own rate counts as one more vote of a fixed small weight. The vote is calibrated by a logistic curve that is
-fitted to examples' own votes without themselves. A document without any term is voted on by the examples without any.
+nearest vote with their cosines; the examples' own rate counts as one more vote of a fixed small weight. The vote is calibrated by a logistic curve,
+fitted to votes on folds of the examples by the weights and neighbours of the other folds. A document without any term is voted on by the examples without any.
 
 The model has a bounded size, whatever the corpus; prediction streams whole texts without a shuffle.
 """
@@ -13,6 +13,7 @@ The model has a bounded size, whatever the corpus; prediction streams whole text
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from paperlake.llm.common import cut, labelled_sample, small_batches
 SAMPLE_ROWS = 2500
 K, PRIOR_WEIGHT = 25, 1.0
 BLOCK, FIRST = 64, 4
-CALIBRATION = 600
+FOLDS, CALIBRATION = 4, 600
 CACHE = 50_000
 EVIDENCE = 3
 _SPACED = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -76,8 +77,8 @@ class Index:
         w = (1 + np.log(tfs)) * self.idf[terms]
         return w / np.sqrt((w**2).sum()) if len(w) else w
 
-    def nearest(self, terms: np.ndarray, tfs: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples, but for ``without``, of the k highest cosines over 0, and these; of equal ones, those first in the index."""
+    def nearest(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the k highest cosines over 0, and these; of equal ones, those first in the index."""
         w = self.weights(terms, tfs)
         cells, sizes = _ranges(self.cells[terms], self.cells[terms + 1])
         block, w = self.cell_block[cells], np.repeat(w, sizes)
@@ -91,8 +92,6 @@ class Index:
             at, n = _ranges(self.posting[cells[own]], self.posting[cells[own] + 1])
             scores += np.bincount(self.example[at], self.weight[at] * np.repeat(w[own], n), minlength=len(scores))
             seen |= go
-            if without >= 0:
-                scores[without] = 0
             if len(scores) > self.k:
                 floor = max(1e-9, np.partition(scores, -self.k)[-self.k] - 1e-9)
             visit = np.flatnonzero(~seen & (bounds >= floor))
@@ -106,23 +105,6 @@ class Index:
     def vote(self, best: np.ndarray, sims: np.ndarray) -> float:
         return float(((sims * self.labels[best]).sum() + self.prior_weight * self.prior) / (sims.sum() + self.prior_weight))
 
-    def calibrate(self, examples: list[tuple[int, str, np.ndarray, np.ndarray]], most: int = CALIBRATION) -> None:
-        """Fits the logistic curve to the votes on about ``most`` of the examples, each without itself; a curve that falls is not taken."""
-        at = {name: i for i, name in enumerate(self.names)}
-        some = [e for e in examples[:: max(1, len(examples) // most)] if len(e[2])]
-        y = np.array([e[0] for e in some], dtype=np.float64)
-        if not len(y) or y.min() == y.max():
-            return
-        v = np.array([self.vote(*self.nearest(e[2], e[3], at[e[1]])) for e in some])
-        x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1)
-        c = np.array([1.0, 0.0])
-        for _ in range(25):  # Newton's method, drawn to the vote itself by a ridge of one
-            p = 1 / (1 + np.exp(-(x @ c)))
-            g = x.T @ (p - y) + (c - [1, 0])
-            c = c - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), g)
-        if np.isfinite(c).all() and c[0] > 0:
-            self.slope, self.shift = float(c[0]), float(c[1])
-
     def score(self, terms: np.ndarray, tfs: np.ndarray) -> tuple[float, list[str]]:
         if not len(terms):
             return self.bare, []
@@ -131,6 +113,30 @@ class Index:
         return 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), [self.names[i] for i in best[:EVIDENCE]]
 
 
+def calibration(examples: list[tuple[int, str, np.ndarray, np.ndarray]], terms: int, folds: int = FOLDS, most: int = CALIBRATION) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that best turns a vote's logit into that of the label, from about ``most`` votes on folds of the examples.
+
+    The fit is drawn to the vote as it is (1 and 0) by a ridge of one, which tells where examples are few; a curve that falls is not taken.
+    """
+    logits, truth = [], []
+    for f in range(folds):
+        rest = [e for e in examples if zlib.crc32(e[1].encode()) % folds != f]
+        own = [e for e in examples if zlib.crc32(e[1].encode()) % folds == f and len(e[2])]
+        if rest and own:
+            index = Index(rest, term_weights(rest, terms))
+            for e in own[:: max(1, len(own) * folds // most)]:
+                v = index.vote(*index.nearest(e[2], e[3]))
+                logits.append(math.log(v / (1 - v)))
+                truth.append(float(e[0]))
+    if not truth or min(truth) == max(truth):
+        return 1.0, 0.0
+    x, y, c = np.stack([logits, np.ones(len(logits))], axis=1), np.array(truth), np.array([1.0, 0.0])
+    for _ in range(25):  # Newton's method
+        p = 1 / (1 + np.exp(-(x @ c)))
+        c = c - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (p - y) + (c - [1, 0]))
+    return (float(c[0]), float(c[1])) if np.isfinite(c).all() and c[0] > 0 else (1.0, 0.0)
+
+
 class Model:
     def __init__(self, terms: list[str], index: Index | None):
         self.terms, self.index = {t: i for i, t in enumerate(terms)}, index
@@ -155,7 +161,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, remainder: int = 2, rows: int = SAMPLE_ROWS) -> Model:
     """Model from about ``rows`` labelled documents outside crc32(doc_id) mod ``divisor`` = ``remainder``.
 
-    Document counts of words are made in Spark; the words and, for each example, its counts of these come to the driver. Without labelled documents the
+    The sample's words are gathered in Spark; they and, for each example, its counts of them come to the driver. Without labelled documents the
     score is 0.5, with labels of one kind their value drawn to 0.5 by half an example each.
     """
     small_batches(docs.sparkSession)
@@ -163,14 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(w, y) for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True) for w in set(words(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], ["word", "label"])
-
-    n, n1 = (int(x or 0) for x in sample.agg(F.count(F.lit(1)), F.sum("label")).first())
-    counts = sample.mapInArrow(distinct, "word string, label int").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("a")).orderBy("word").toArrow()
-    terms = counts.column("word").to_pylist()
-    df, a = (counts.column(c).to_numpy().astype(np.float64) for c in ("df", "a"))
-    idf = (1 + np.log(max(n, 1) / df)) * (g_squared(df, a, n, n1) if 0 < n1 < n else 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column("text").to_pylist() for w in words(t or "")}), pa.string())], ["word"])
+
+    terms = sample.mapInArrow(distinct, "word string").distinct().orderBy("word").toArrow().column("word").to_pylist()
     counter = Model(terms, None)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,16 +182,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int
     got = sample.mapInArrow(vectors, "label int, name string, terms array<long>, tfs array<long>").toArrow()
     examples = [(y, name, t.values.to_numpy(), f.values.to_numpy()) for y, name, t, f in zip(got.column("label").to_pylist(), got.column("name").to_pylist(), got.column("terms"), got.column("tfs"), strict=True)]
     examples.sort(key=lambda e: e[1])
-    index = Index(examples, idf)
-    index.calibrate(examples)
+    index = Index(examples, term_weights(examples, len(terms)))
+    index.slope, index.shift = calibration(examples, len(terms))
     return Model(terms, index)
 
 
-def g_squared(df: np.ndarray, a: np.ndarray, n: int, n1: int) -> np.ndarray:
+def term_weights(examples: list[tuple[int, str, np.ndarray, np.ndarray]], terms: int) -> np.ndarray:
+    """idf times G-squared of every term; a term that no example has gets the weight of one that tells nothing."""
+    labels = np.array([e[0] for e in examples], dtype=np.float64)
+    n, n1 = len(labels), float(labels.sum())
+    at = np.concatenate([np.zeros(0, np.int64), *(e[2] for e in examples)])
+    df = np.bincount(at, minlength=terms).astype(np.float64)
+    a = np.bincount(at, np.repeat(labels, [len(e[2]) for e in examples]), minlength=terms)
+    return (1 + np.log(max(n, 1) / np.maximum(df, 1))) * (g_squared(df, a, n, n1) if 0 < n1 < n else 1)
+
+
+def g_squared(df: np.ndarray, a: np.ndarray, n: int, n1: float) -> np.ndarray:
     """G-squared, and at least a little, of words that occur in ``df`` of ``n`` examples, ``a`` of them among the ``n1`` of label 1."""
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
     rate = n1 / n
     rest = np.maximum(n - df, 1e-12)

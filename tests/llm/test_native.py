@@ -206,12 +206,25 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_line_dedup(spark):
-    rows = [(i, "s", f"menu\n  unique {i}\nmore {i}", 5) for i in range(20)] + [(100 + i, "s", "copy one\ncopy two", 5) for i in range(20)] + [(200, "t", "menu\nother", 5), (201, None, "menu", 5), (202, "s", None, 5), (203, "s", " menu \n", 5), (204, "s", "", 5)]
-    df = spark.createDataFrame(rows, "doc_id int, source string, text string, n_lines int")
-    got = {r["doc_id"]: r for r in linededup.drop_lines(df, ratio=0.5).collect()}
-    assert len(got) == len(rows)
-    assert got[3]["text"] == "  unique 3\nmore 3" and got[3]["n_dropped"] == 1 and got[3]["n_lines"] == 3
-    assert got[105]["text"] == "copy one\ncopy two" and got[200]["text"] == "menu\nother" and got[202]["text"] is None and got[202]["n_lines"] == 0
-    assert got[203]["text"] == " menu \n" and got[204]["text"] == ""
-    assert linededup.drop_lines(df.limit(0)).count() == 0
+def without_common_lines(rows, ratio, copies):
+    """Texts and dropped lines by brute force."""
+    pages = [(s, t) for _, s, t in rows if t is not None]
+    pages = pages if copies else list(dict.fromkeys(pages))
+    bare = lambda t: {x.strip(" \t\r") for x in t.split("\n")} - {""}
+    out = []
+    for i, s, t in rows:
+        own = [p for x, p in pages if x == s]
+        common = {x for x in bare(t or "") if sum(x in bare(p) for p in own) - 1 > ratio * (len(own) - 1)}
+        left = None if t is None else [x for x in t.split("\n") if x.strip(" \t\r") not in common]
+        out.append((str(i), None if t is None else "\n".join(left), 0 if t is None else t.count("\n") + 1, 0 if t is None else t.count("\n") + 1 - len(left)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("ratio", "copies"), [(0.5, False), (0.5, True), (0.05, True), (0.05, False), (0.0, True)])
+def test_line_dedup(spark, ratio, copies):
+    rows = [(i, "s", f"menu\n  unique {i}\nmore {i % 9}") for i in range(20)] + [(100 + i, "s", "copy one\ncopy two") for i in range(20)]
+    rows += [(200, "t", "menu\nother"), (201, None, "menu"), (202, "s", None), (203, "s", " menu \n"), (204, "s", ""), (205, None, "menu\nmenu"), (206, "null only", None), (None, "s", "menu"), (200, "t", "menu\nother"), (207, "u", "long line " * 100_000 + "\nshort")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id int, source string, text string, n_lines int")
+    got = linededup.drop_lines(df, ratio=ratio, copies=copies)
+    assert sorted(((str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == without_common_lines(rows, ratio, copies)
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"] and linededup.drop_lines(df.limit(0)).count() == 0
