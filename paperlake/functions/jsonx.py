@@ -64,6 +64,37 @@ def repaired_json(s: pd.Series) -> pd.Series:
     return s.map(repair)
 
 
+def canonical_json(c: Column) -> Column:
+    """A JSON document with the keys of every object in order and without spaces, so that equal documents are equal strings; null if damaged."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def distinct_items(c: Column) -> Column:
+    """Of an array of JSON objects each one once, at its first place, as canonical JSON; what is no document goes."""
+    return F.array_distinct(F.filter(F.transform(c, canonical_json), lambda x: x.isNotNull()))
+
+
+def _frozen(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: _frozen(value[k]) for k in sorted(value)}
+    if isinstance(value, list):
+        return [_frozen(v) for v in value]
+    return str(value or "").strip().lower()
+
+
+@pandas_udf(T.StringType())
+def frozen(s: pd.Series) -> pd.Series:
+    """Key of a JSON value for comparison: objects with their keys in order, all leaves as trimmed text in lower case, empty ones as empty text."""
+
+    def key(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_frozen(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return s.map(key)
+
+
 def strip_fences(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"^\s*```[A-Za-z]*\s*|\s*```\s*$", ""))
 

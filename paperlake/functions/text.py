@@ -183,12 +183,13 @@ def dois_in(c: Column) -> Column:
 
 
 def arxiv_id(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(_text(c)), r"10\.48550/arxiv\.(.+)$", 1), F.lit(""))
+    """The number that follows arxiv, with or without a dot, colon or slash between them; null without one."""
+    return F.nullif(F.regexp_extract(F.lower(_text(c)), r"arxiv[.:/]?(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.lit(""))
 
 
 def keyword_list(c: Column) -> Column:
     """Parts between commas and line ends, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(_text(c), "[,，\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_text(c), "[,，\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def redact(m: Column) -> Column:

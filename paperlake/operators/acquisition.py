@@ -40,6 +40,23 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.join(first, ["doi", "url", "ord"])
 
 
+def download_order(papers: DataFrame, n: int = 0, ord_column: str = "ord") -> DataFrame:
+    """The n papers (all of them for 0) whose full text is likeliest to be had, likeliest first, equal ones in their order."""
+    ordered = papers.orderBy(F.desc(F.coalesce("fulltext_likelihood", F.lit(0.0))), ord_column)
+    return ordered.limit(n) if n > 0 else ordered
+
+
+def first_folders(folders: DataFrame, n: int = 0, name: str = "folder") -> DataFrame:
+    """The first n folders by name, all of them for 0."""
+    return folders.orderBy(name).limit(n) if n > 0 else folders
+
+
+def unique_names(batches: DataFrame, order: str, label: str = "label", stamp: str = "stamp") -> DataFrame:
+    """``batches`` with ``directory``, label_stamp; of one label and stamp the second one is label_2_stamp, and so on."""
+    n = F.row_number().over(Window.partitionBy(label, stamp).orderBy(order))
+    return batches.withColumn("directory", F.concat_ws("_", F.col(label), F.when(n > 1, n.cast("string")), F.col(stamp)))
+
+
 def first_success(results: DataFrame) -> DataFrame:
     """Of each paper's results (doi, provider, priority, status) the first ok one, else the best failure."""
     rank = F.struct(F.when(F.col("status") == "ok", 0).otherwise(1), F.col("priority"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import numeric as N
 from paperlake.functions import text as X
+from paperlake.operators.order import written
 
 # Weights of the quality components, and quotas of the fill.
 WEIGHTS = {"relevance": 0.30, "completeness": 0.20, "abstract_quality": 0.15, "citation_signal": 0.10, "recency": 0.10, "fulltext_likelihood": 0.15}
@@ -61,31 +62,57 @@ def near_titles(a: str, b: str, threshold: float = NEAR_TITLE) -> bool:
     return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
-def fuzzy_titles(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:
-    """ord, title_key and leader: each DOI-less title (ord, title_key) joins the earliest leader that it is near to, or leads.
+def near_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None, n: int = 3) -> DataFrame:
+    """a and b (ord of the earlier and the later one) of all near titles, by a prefix filter on n-grams and the exact likeness.
 
-    Exact copies meet first. Near titles differ in length by less than an eighth, so they share a length band or are in neighbouring ones; the election
-    runs in order within a band and the next. A band of very many titles is one task: narrow the input with further equal keys (year, venue)
-    through ``within`` where that matters.
+    Two near titles of s letters together have M >= threshold * s / 2 letters in common blocks, at most s - 2M + 1 blocks, and so at least
+    M - (n - 1) * (s - 2M + 1) common n-grams. A title's rarest n-grams, one more than it can lack, therefore hold one that the other's rarest hold too, and only those
+    are joined. Equal n-grams of one title are told apart by their number.
     """
     within = within or []
-    keyed = titles.where("coalesce(title_key, '') <> ''").groupBy("title_key", *within).agg(F.min("ord").alias("ord"))
-    band = F.floor(F.log(F.length("title_key")) / F.log(F.lit(1.13)))
-    blocked = keyed.withColumn("block", F.explode(F.array(band, band + 1)))
-
-    def elect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        leaders: list[tuple[int, str]] = []
-        out = []
-        for o, t in zip(pdf.ord, pdf.title_key, strict=True):
-            lead = next((x for x in leaders if near_titles(t, x[1], threshold)), None)
-            if lead is None:
-                leaders.append((o, t))
-            out.append((o, t, lead[0] if lead else o))
-        return pd.DataFrame(out, columns=["ord", "title_key", "leader"])
-
-    found = blocked.groupBy("block", *within).applyInPandas(elect, "ord long, title_key string, leader long")
-    return found.groupBy("ord", "title_key").agg(F.min("leader").alias("leader"))
+    shortest = threshold / (2 - threshold)  # the shorter of two near titles, as a share of the longer
+    least = (threshold / 2 - (n - 1) * (1 - threshold)) * (1 + shortest)
+    gram = F.transform(F.sequence(F.lit(1), F.length("title_key") - (n - 1)), lambda i: F.struct(F.substring("title_key", i, F.lit(n)).alias("g"), i.alias("i")))
+    grams = titles.where(F.length("title_key") >= NEAR_LENGTH).select("ord", *within, F.length("title_key").alias("len"), F.explode(gram).alias("x"))
+    grams = grams.select("ord", *within, "len", F.col("x.g").alias("g"), F.row_number().over(Window.partitionBy("ord", "x.g").orderBy("x.i")).alias("k"))
+    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "g", "k"))
+    lacking = F.col("len") - (n - 1) - F.ceil(F.col("len") * least - (n - 1) - 1e-9)
+    rare = written(grams.join(counts, "g").withColumn("rank", rank).where(F.col("rank") <= lacking + 1).select("ord", *within, "len", "g", "k"))
+    other = rare.select(*(F.col(c).alias(f"_{c}") for c in rare.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*within, "g", "k"]]
+    fits = (F.col("ord") < F.col("_ord")) & (F.least("len", "_len") >= F.lit(shortest - 1e-9) * F.greatest("len", "_len"))
+    pairs = rare.join(other, [*same, fits]).select(F.col("ord").alias("a"), F.col("_ord").alias("b")).distinct()
+    text = titles.select(F.col("ord").alias("_o"), "title_key")
+    pairs = pairs.join(text.withColumnRenamed("title_key", "x"), F.col("a") == F.col("_o")).drop("_o").join(text.withColumnRenamed("title_key", "y"), F.col("b") == F.col("_o")).drop("_o")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[[near_titles(y, x, threshold) for x, y in zip(pdf.x, pdf.y, strict=True)], ["a", "b"]]
+
+    return pairs.mapInPandas(verify, "a long, b long")
+
+
+def fuzzy_titles(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:
+    """ord, title_key and leader: in order, each DOI-less title (ord, title_key) joins the earliest leader that it is near to, or leads.
+
+    Exact copies meet first; ``within`` names further columns that must be equal. The election runs in rounds over the near pairs: a title whose earlier near ones are
+    all followers leads, one with an earlier leader near it follows. In every round at least the earliest open title of each group of near titles is settled.
+    """
+    keyed = written(titles.where("coalesce(title_key, '') <> ''").groupBy("title_key", *(within or [])).agg(F.min("ord").alias("ord")))
+    pairs = written(near_pairs(keyed, threshold, within))
+    open_ = written(pairs.select(F.col("b").alias("o")).distinct())  # a title that no earlier one is near to leads
+    leads = written(pairs.select(F.col("a").alias("o")).distinct().join(open_, "o", "left_anti"))
+    followers = written(open_.limit(0))
+    while not open_.isEmpty():
+        led = pairs.join(leads, F.col("a") == F.col("o"), "left_semi").select(F.col("b").alias("o")).distinct().join(open_, "o", "left_semi")
+        followers = written(followers.unionByName(led))
+        rest = written(open_.join(followers, "o", "left_anti"))
+        waits = pairs.join(rest.withColumnRenamed("o", "a"), "a", "left_semi").select(F.col("b").alias("o")).distinct()
+        leads = written(rest.join(waits, "o", "left_anti"))  # earlier leaders have been heard, only the new ones count in the next round
+        open_ = written(rest.join(leads, "o", "left_anti"))
+    first = pairs.join(followers, F.col("a") == F.col("o"), "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+    return keyed.join(first, F.col("ord") == F.col("b"), "left").select("ord", "title_key", F.coalesce("leader", "ord").alias("leader"))
 
 
 def likelihood() -> Column:

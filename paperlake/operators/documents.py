@@ -110,7 +110,7 @@ def abstract_of(text: Column) -> Column:
 def title_of(text: Column) -> Column:
     """Title line of a serialised document; if it is empty or says that the paper is reviewed, the first line of the body."""
     t = F.trim(F.regexp_extract(text, r"(?m)^Title:[ \t]*(.*)$", 1))
-    body = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("===") & ~F.lower(x).rlike("^(title|doi|abstract):"))
+    body = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("===") & ~F.lower(x).rlike("^(title|doi|abstract):"))
     return F.when(F.lower(t).isin("", "peer reviewed", "n/a"), F.substring(F.coalesce(F.get(body, F.lit(0)), F.lit("")), 1, 200)).otherwise(t)
 
 

@@ -1,7 +1,7 @@
 """Gap analytics over the three flat tables: material_props, material_struct, paper_concepts.
 
-Everything is groupBy, join and window on the data's own keys. Candidate ids are numbers in a global order, so the window that gives them sees the
-candidates alone; it is the only step without a partition key and can be left out (``ids=False``) where candidates are many.
+Everything is groupBy, join and window on the data's own keys. Candidate ids are numbers in a global order, which ranges of the candidates count
+each for itself; they can be left out (``ids=False``).
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.operators.order import places
+
 MIN_PAPERS = 2
 TOP_MISSING = 200
 EVIDENCE = 8
 
 
 def numbered(df: DataFrame, prefix: str, *order: Column) -> DataFrame:
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("id", F.concat(F.lit(f"{prefix}-"), F.format_string("%03d", n)))
+    """``df`` with ids like ``ug-001`` in the order of all rows."""
+    return places(df, "_n", *order).withColumn("id", F.concat(F.lit(f"{prefix}-"), F.format_string("%03d", "_n"))).drop("_n")
 
 
 def well_studied(props: DataFrame, struct: DataFrame, min_papers: int = MIN_PAPERS) -> DataFrame:
@@ -39,9 +41,10 @@ def underexplored(props: DataFrame, struct: DataFrame, properties: DataFrame, mi
 
 def evidence(candidates: DataFrame, papers: DataFrame, family: str = "concept_a", limit: int | None = None) -> DataFrame:
     """Candidates with ``evidence``: array of doi and title of the papers (material_family, doi, title) of their family, by doi."""
-    per = papers.select(F.col("material_family").alias("_f"), "doi", "title").distinct().groupBy("_f").agg(F.sort_array(F.collect_list(F.struct("doi", "title"))).alias("evidence"))
-    if limit:
-        per = per.withColumn("evidence", F.slice("evidence", 1, limit))
+    rows = papers.select(F.col("material_family").alias("_f"), "doi", "title").distinct()
+    if limit:  # only the first ones of a family are gathered
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("doi", "title"))).where(F.col("_n") <= limit)
+    per = rows.groupBy("_f").agg(F.sort_array(F.collect_list(F.struct("doi", "title"))).alias("evidence"))
     return candidates.join(per, F.col(family) == F.col("_f"), "left").drop("_f")
 
 

@@ -23,17 +23,20 @@ def property_rows(materials: DataFrame, wanted: list[Spec] | None = None, strict
     in degrees with a c in the unit becomes kelvin.
     """
     wanted = wanted or specs()
+    # the registry is a fixed table: of its literal only the entries of fields that the material has go on
     dim = F.array(*(F.struct(F.lit(s.key).alias("key"), F.lit(s.symbol).alias("symbol"), F.lit(s.field).alias("field"), *(F.lit(v).cast("string").alias(a) for a, v in (("nk", s.numeric_key), ("uk", s.unit_key), ("tk", s.temperature_key), ("tuk", s.temperature_unit_key)))) for s in wanted))
-    rows = materials.where("coalesce(name, '') <> ''").select("doi", "name", "fields", F.explode(dim).alias("s"))
-    rows = rows.select("doi", "name", "s", F.explode(F.try_element_at("fields", "s.field")).alias("e"))
+    rows = materials.where("coalesce(name, '') <> ''").select("doi", "name", F.explode("fields").alias("field", "entries")).where(F.col("field").isin(sorted({s.field for s in wanted})))
+    rows = rows.select("doi", "name", "entries", F.explode(F.filter(dim, lambda s: s["field"] == F.col("field"))).alias("s")).select("doi", "name", "s", F.explode("entries").alias("e"))
     get = lambda c: F.try_element_at(F.col("e"), c)
     text = lambda *cs: F.coalesce(*(F.nullif(F.trim(get(c)), F.lit("")) for c in cs))
     own = N.first_number(get(F.col("s.nk")))
-    rows = rows.withColumn("num", F.coalesce(F.nullif(own, F.lit(0.0)), N.first_number(get(F.lit("value"))))).where("num IS NOT NULL")
+    num = F.coalesce(F.nullif(own, F.lit(0.0)), N.first_number(get(F.lit("value"))))
     unit = F.coalesce(text(F.col("s.uk"), F.lit("unit"), F.lit("Unit")), F.lit(""))
     temp = N.first_number(text(F.col("s.tk"), F.lit("temperature"), F.lit("Temperature"), F.lit("T")))
     temp_unit = text(F.col("s.tuk"), F.lit("Temperature_unit"), F.lit("T_unit"), F.lit("temp_unit"))
-    rows = rows.withColumns({"unit0": unit, "temp0": temp, "tu": temp_unit})
+    parsed = F.struct(num.alias("num"), unit.alias("unit0"), temp.alias("temp0"), temp_unit.alias("tu"))
+    # parsed once: what an explode makes is not computed again by the filter and the columns above it
+    rows = rows.select("doi", "name", "s", "e", F.explode(F.array(parsed)).alias("p")).select("doi", "name", "s", "e", "p.*").where("num IS NOT NULL")
     value, label = N.convert(F.col("num"), F.col("unit0"), F.col("s.key"), {s.key: s.target_unit for s in wanted if s.unit_known}, strict_units)
     context = [(F.coalesce(get(F.lit(k)), F.lit("")) if k != "evidence_page" else get(F.lit(k))).alias(k) for k in CONTEXT_FIELDS]
     return rows.select("doi", F.trim("name").alias("material_raw"), X.material_family(F.col("name")).alias("material_family"), F.col("s.key").alias("property_key"), F.col("s.symbol").alias("property_symbol"), value.alias("value"), label.alias("unit"), N.kelvin(F.col("temp0"), F.col("tu")).alias("temp_K"), F.lit("structured").alias("source"), *context)
@@ -81,16 +84,15 @@ def resolve(folders: DataFrame, authority: DataFrame, overrides: DataFrame | Non
     """folder, doi, resolution: the folder's DOI by override, else decoded from its name, else by title, else by a prefix that one DOI alone has.
 
     ``folders``: folder, title; ``authority``: doi, title, ord (the first of equal ones counts); ``overrides``: folder, doi. Each tier is an equi-join; the prefix tier joins
-    on prefixes of DOIs at the lengths that occur among folders, which Spark sees as one more equality.
+    the folders' prefixes with all prefixes of each DOI.
     """
     a = authority.where("coalesce(doi, '') <> ''")
     first = lambda key: Window.partitionBy(key).orderBy("ord")
     by_doi = a.select("doi").distinct().withColumnRenamed("doi", "d_doi")
     by_title = a.withColumn("k", X.title_fold(F.col("title"))).where("k <> ''").withColumn("n", F.row_number().over(first("k"))).where("n = 1").select(F.col("k").alias("t_key"), F.col("doi").alias("t_doi"))
     f = folders.select("folder", "title", X.folder_doi(F.col("folder")).alias("decoded"), X.title_fold(F.col("title")).alias("key"), F.substring_index("folder", "_", 1).alias("prefix"))
-    prefixes = f.select("prefix", F.length("prefix").alias("len")).distinct()
-    lengths = prefixes.select("len").distinct()
-    unique = a.select("doi").distinct().join(lengths, F.length("doi") >= F.col("len")).select("doi", F.expr("left(doi, len)").alias("p")).join(prefixes.select(F.col("prefix").alias("p")), "p").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("doi").alias("p_doi")).where("n = 1").select("p", "p_doi")
+    own = F.transform(F.sequence(F.lit(0), F.length("doi")), lambda n: F.left("doi", n))
+    unique = a.select("doi").distinct().select("doi", F.explode(own).alias("p")).join(f.select(F.col("prefix").alias("p")).distinct(), "p").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("doi").alias("p_doi")).where("n = 1").select("p", "p_doi")
     if overrides is None:
         f = f.withColumn("o_doi", F.lit(None).cast("string"))
     else:
@@ -100,6 +102,20 @@ def resolve(folders: DataFrame, authority: DataFrame, overrides: DataFrame | Non
     return f.select("folder", F.coalesce("o_doi", "d_doi", "t_doi", "p_doi", F.nullif("decoded", F.lit("")), "folder").alias("doi"), tier.alias("resolution"))
 
 
+def folder_of(dois: DataFrame, papers: DataFrame, ord_column: str = "ord") -> DataFrame:
+    """``dois`` (doi) with the first folder of each, and its title, from papers (folder, doi, title, ord); empty strings where there is none."""
+    first = papers.groupBy(F.col("doi").alias("_d")).agg(F.min_by(F.struct("folder", "title"), ord_column).alias("_f"))
+    found = dois.join(first, F.col("doi") == F.col("_d"), "left")
+    return found.withColumns({c: F.coalesce(F.col(f"_f.{c}"), F.lit("")) for c in ("folder", "title")}).drop("_d", "_f")
+
+
+def table_totals(tables: DataFrame, records: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Per document the tables, their rows and the records from them; documents without tables are not listed."""
+    t = tables.groupBy(id_column).agg(F.countDistinct("table_no").alias("tables"), F.count(F.lit(1)).alias("rows"))
+    r = records.groupBy(id_column).agg(F.count(F.lit(1)).alias("records"))
+    return t.join(r, id_column, "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
 def judged(entries: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Entries (material, property, value) without those a verdict (same columns) calls wrong."""
     return entries.join(verdicts.select("material", "property", "value").distinct(), ["material", "property", "value"], "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import numeric as N
 from paperlake.functions import text as X
+from paperlake.operators.order import written
 
 
 def _hits(c: Column, words: list[str]) -> Column:
@@ -63,9 +64,9 @@ def snowball(edges: DataFrame, seeds: DataFrame, rounds: int = 2, per_seed: int
     """node and round reached from the seeds (column node) over edges (src, dst), seeds in round 0.
 
     Each round joins the frontier with the edges and leaves out what was seen. ``per_seed`` keeps that many neighbours of each node by a hash, ``cap`` so many new nodes in all.
-    Rounds are few and given, so the plan is a chain of joins that Spark runs as one job.
+    Each round's new nodes are written, so that no round computes those before it again.
     """
-    seen = seeds.select("node").distinct().withColumn("round", F.lit(0))
+    seen = written(seeds.select("node").distinct().withColumn("round", F.lit(0)))
     frontier = seen
     for r in range(1, rounds + 1):
         near = edges.join(frontier.select(F.col("node").alias("src")), "src").select("src", "dst").distinct()
@@ -75,10 +76,16 @@ def snowball(edges: DataFrame, seeds: DataFrame, rounds: int = 2, per_seed: int
         new = near.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("round", F.lit(r))
         if cap:
             new = new.orderBy(F.xxhash64("node", F.lit(salt)), "node").limit(cap)
-        seen, frontier = seen.unionByName(new), new
+        frontier = written(new)
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def first_come(references: DataFrame, cap: int, seed_order: str = "seed_ord", order: str = "ref_ord") -> DataFrame:
+    """The first ``cap`` references of all seeds, in the order of the seeds and of each one's references; cut before any deduplication."""
+    return references.orderBy(seed_order, order).limit(cap)
+
+
 def query_audit(hits: DataFrame) -> DataFrame:
     """Per query: raw hits, distinct ones and sources, from (query, doi, title, source)."""
     key = F.coalesce(F.nullif("doi", F.lit("")), F.col("title"))

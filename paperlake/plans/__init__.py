@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperlake.operators.order import finished
+
 
 @dataclass(frozen=True)
 class Tool:
@@ -82,10 +84,10 @@ def execute(spark: SparkSession, plan: list[Step], tools: dict[str, Tool], wareh
         out.append(state)
         if stopped:
             continue
-        try:
+        if finished(spark, path):
             have[tool.provides] = spark.read.parquet(path)
             state["status"] = "skipped"
-        except Exception:  # the table is not there yet
+        else:
             while state["attempts"] < tries and state["status"] != "succeeded":
                 state["attempts"] += 1
                 try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
 from paperlake.operators import documents as D
+from paperlake.operators.order import finished
 
 MAX_BYTES = 100 * 1024 * 1024
 
@@ -85,3 +86,49 @@ def write_batch(df: DataFrame, path: str, partition: str = "batch") -> None:
 
 def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def write_rules(records: DataFrame, path: str, schemas: DataFrame | None = None) -> None:
+    """Records as JSON lines, and next to them their schemas if given."""
+    records.write.mode("overwrite").json(f"{path}/records")
+    if schemas is not None:
+        schemas.write.mode("overwrite").json(f"{path}/schemas")
+
+
+def write_extractions(rows: DataFrame, path: str) -> None:
+    """Extracted entries as JSON, a folder for each batch, paper and kind (columns batch, doc, kind), of which those in ``rows`` are overwritten."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "doc", "kind").json(path)
+
+
+def write_results(papers: DataFrame, path: str, keywords: list[str], ord_column: str = "ord") -> None:
+    """doi_list (distinct, by first place), results and keywords of a retrieval."""
+    dois = papers.where("coalesce(doi, '') <> ''").groupBy("doi").agg(F.min(ord_column).alias("o"))
+    dois.orderBy("o").select("doi").write.mode("overwrite").text(f"{path}/doi_list")
+    papers.write.mode("overwrite").json(f"{path}/results")
+    papers.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keywords)], "value string").write.mode("overwrite").text(f"{path}/keywords")
+
+
+def add_claims(claims: DataFrame, path: str) -> None:
+    """Claims appended to a repository of JSON lines."""
+    claims.write.mode("append").json(path)
+
+
+def claims_of(spark: SparkSession, path: str, schema: str, status: str | None = None) -> DataFrame:
+    """The repository's claims, the last one written of each claim_id; of one status if given."""
+    rows = spark.read.schema(schema).json(path).withColumns({"_t": F.col("_metadata.file_modification_time"), "_p": F.col("_metadata.file_path")})
+    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("_t"), F.desc("_p")))).where("_n = 1").drop("_n", "_t", "_p")
+    return last if status is None else last.where(F.col("status") == status)
+
+
+def cached(rows: DataFrame, key: str, version: str, path: str, extract, schema: str) -> DataFrame:
+    """``extract`` of rows, from a ledger of what was extracted before under this version; only rows whose key is not there go through it.
+
+    The ledger is a table partitioned by version: another version starts anew and leaves the old one.
+    """
+    spark = rows.sparkSession
+    place = f"{path}/version={version}"
+    if finished(spark, place):
+        known = spark.read.schema(schema).parquet(place)
+        rows = rows.join(known.select(key).distinct(), key, "left_anti")
+    extract(rows).write.mode("append").parquet(place)
+    return spark.read.schema(schema).parquet(place)

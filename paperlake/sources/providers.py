@@ -61,7 +61,7 @@ def normalize_hits(hits: DataFrame) -> DataFrame:
     """Search hits (title, authors as text, year, venue, doi, url, citation_count, abstract, tldr, keyword, source) as papers; without title and DOI a hit falls away."""
     t = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
     doi, title = t("doi"), t("title")
-    authors = F.filter(F.transform(F.split(F.coalesce(t("authors"), F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    authors = F.filter(F.transform(F.split(F.coalesce(t("authors"), F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     return hits.where(doi.isNotNull() | title.isNotNull()).select("keyword", title.alias("title"), authors.alias("authors"), F.col("year").cast("string").try_cast("int").alias("year"), t("venue").alias("venue"), doi.alias("doi"), F.coalesce(t("source"), F.lit("unknown")).alias("source"), F.coalesce(t("url"), F.concat(F.lit("https://doi.org/"), doi)).alias("url"), F.col("citation_count").cast("string").try_cast("int").alias("citation_count"), F.coalesce(t("abstract"), t("tldr"), F.lit("")).alias("abstract"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperlake.operators.order import finished
+
 
 def new_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     """Stream of files that were not read before; the checkpoint is the watermark of what has been."""
@@ -22,10 +24,8 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, transform: Callable[[Da
     def each(batch: DataFrame, n: int) -> None:
         rows = batch
         if ledger_key:
-            try:
+            if finished(batch.sparkSession, out):
                 rows = rows.join(batch.sparkSession.read.parquet(out).select(ledger_key).distinct(), ledger_key, "left_anti")
-            except Exception:  # nothing was written yet
-                pass
             rows = rows.dropDuplicates([ledger_key])
         transform(rows).write.mode("append").parquet(out)
 

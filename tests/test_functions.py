@@ -21,7 +21,7 @@ def one(spark, column, *values):
         (X.method, "Molecular Beam Epitaxy (MBE)", "molecular beam epitaxy"), (X.method, "MOCVD (PAMBE)", "mocvd"), (X.crystal, "Hexagonal (hcp)", "hexagonalhcp"),
         (X.doi, " https://doi.org/10.1/AB. ", "10.1/ab"), (X.doi, "http://dx.doi.org/10.2/b", "10.2/b"), (X.doi, None, ""), (X.title_key, "Étude: ＡＢ 氮化镓!", "tudeab氮化镓"), (X.title_fold, "Étude AB", "etudeab"),
         (X.folder_name, "10.1/a b(c)", "10.1_abc"), (X.folder_doi, "10.1_abc", "10.1/abc"), (X.section_key, "=== 1. References: ===", "references"), (X.section_key, "## II. Methods", "methods"), (X.match_key, "epsilon_r", "εr"), (X.match_key, "ε_r", "εr"),
-        (X.arxiv_id, "10.48550/arXiv.2401.1", "2401.1"), (X.csv_cell, "a\r\nb\rc\nd", "a b c d"), (X.format_of, "/x/a.NXML", "xml"), (X.format_of, "/x/a", "unknown"), (N.strip_unit, "d33 (pC/N)", "d33"),
+        (X.arxiv_id, "10.48550/arXiv.2401.12345v2", "2401.12345v2"), (X.arxiv_id, "https://x/ARXIV:2401.1234", "2401.1234"), (X.arxiv_id, "10.48550/arXiv.2401.1", None), (X.csv_cell, "a\r\nb\rc\nd", "a b c d"), (X.format_of, "/x/a.NXML", "xml"), (X.format_of, "/x/a", "unknown"), (N.strip_unit, "d33 (pC/N)", "d33"),
         (FO.with_counts, "Bi2Te", "Bi2Te1"),
     ],
 )

@@ -1,6 +1,8 @@
 import gzip
 import re
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,38 @@ def test_dedup(spark):
     assert C.deduplicate(spark.createDataFrame([], PAPER)).count() == 0
 
 
+def elected(titles):
+    """A plain pass in order: a title joins the earliest leader that it is near to, or leads."""
+    leaders, out = [], {}
+    for o, t in titles:
+        lead = next((x for x, y in leaders if C.near_titles(t, y)), None)
+        if lead is None:
+            leaders.append((o, t))
+        out[o] = o if lead is None else lead
+    return out
+
+
+def test_fuzzy_chains(spark):
+    """Chains of near titles, in which a title may be near to followers only, over many lengths."""
+    rng = random.Random(3)
+    titles = []
+    for _ in range(8):
+        t = "".join(rng.choice("abcdefghij klm") for _ in range(rng.randint(24, 120)))
+        for _ in range(25):
+            t = list(t)
+            for _ in range(rng.randint(1, 4)):
+                i = rng.randrange(len(t))
+                t[i : i + rng.randint(0, 1)] = [rng.choice("abcdefgh")] * rng.randint(0, 2)
+            t = "".join(t)
+            titles.append(t)
+    titles = list(dict.fromkeys(titles))
+    rng.shuffle(titles)
+    rows = list(enumerate(titles)) + [(1000, titles[0]), (1001, "short title"), (1002, None), (1003, "")]
+    got = {r["ord"]: r["leader"] for r in C.fuzzy_titles(spark.createDataFrame(rows, "ord long, title_key string")).collect()}
+    assert got == elected(list(enumerate(titles)) + [(1001, "short title")])
+    assert C.fuzzy_titles(spark.createDataFrame([], "ord long, title_key string")).count() == 0
+
+
 def test_fuzzy(spark):
     base = "thermoelectricpropertiesofbismuthtelluride"
     rows = [(0, base), (1, base + "s"), (2, "short"), (3, "completelydifferenttitleaboutpiezoceramics"), (4, base)]
@@ -152,7 +186,7 @@ def test_passages(spark):
 def test_concepts_of_all_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     found = {(str(r["doc_id"]), "methods", w.lower()) for r in docs for w in re.findall(r"\b(?:the|der|les|para)\b", r["text"] or "", re.I)}
-    got = [(str(r["doi"]), r["type"], r["concept"]) for r in QUERIES["concept_rules_all"](spark, sf_dir).collect()]
+    got = [(str(r["doi"]), r["type"], r["concept"]) for r in QUERIES["concept_rules"](spark, sf_dir).collect()]
     assert set(got) == found and len(got) == len(found) and {w for _, _, w in found} == {"the", "der", "les", "para"}
 
 
@@ -249,3 +283,48 @@ def test_plan(spark, tmp_path):
     first = plans.execute(spark, plan, tools, str(tmp_path), {"n": 4})
     assert [s["status"] for s in first] == ["succeeded", "succeeded"] and spark.read.parquet(first[1]["path"]).count() == 8
     assert [s["status"] for s in plans.execute(spark, plan, tools, str(tmp_path), {"n": 4})] == ["skipped", "skipped"]
+
+
+def test_condition_columns_of_one_header(spark):
+    """The last of the columns counts."""
+    tables = spark.createDataFrame([("d", 1, 0, ["Material", "Electrical conductivity (S/cm)", "T", "T"], ["Sb2Te3", "5 S/cm", "300 K", "400 K"])], "doc_id string, table_no int, row_no int, header array<string>, cells array<string>")
+    r = TB.records(tables, TB.column_roles(tables)).where("kind = 'numeric'").first()
+    assert r["condition"]["T"]["value"] == 400 and len(r["condition"]) == 1
+
+
+def test_places(spark):
+    from paperlake.operators.order import places
+
+    rows = [(i * 7919 % 501, "x" if i % 3 else None) for i in range(500)]
+    got = places(spark.createDataFrame(rows, "k int, s string").repartition(5), "n", F.col("s").isNull(), F.col("k")).collect()
+    order = sorted(rows, key=lambda r: (r[1] is None, r[0]))
+    assert [(r["k"], r["s"]) for r in sorted(got, key=lambda r: r["n"])] == order and sorted(r["n"] for r in got) == list(range(1, 501))
+
+
+def test_sinks_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "d1", "tables", 1), ("b", "d2", "process", 2)], "batch string, doc string, kind string, n int")
+    files.write_extractions(rows, f"{tmp_path}/x")
+    files.write_extractions(rows.where("doc = 'd1'").withColumn("n", F.lit(5)), f"{tmp_path}/x")
+    assert sorted((r["doc"], r["kind"], r["n"]) for r in spark.read.json(f"{tmp_path}/x").collect()) == [("d1", "tables", 5), ("d2", "process", 2)]
+    papers = spark.createDataFrame([(0, "10.1/b"), (1, "10.1/a"), (2, "10.1/b"), (3, None)], "ord long, doi string")
+    files.write_results(papers, f"{tmp_path}/r", ["k", "l", "k"])
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/r/doi_list").collect()] == ["10.1/b", "10.1/a"] and spark.read.json(f"{tmp_path}/r/results").count() == 4
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/r/keywords").collect()) == ["k", "l"]
+    schema = "claim_id string, status string"
+    files.add_claims(spark.createDataFrame([("c1", "open"), ("c2", "open")], schema), f"{tmp_path}/c")
+    files.add_claims(spark.createDataFrame([("c1", "accepted")], schema), f"{tmp_path}/c")
+    assert [r["claim_id"] for r in files.claims_of(spark, f"{tmp_path}/c", schema, "accepted").collect()] == ["c1"] and files.claims_of(spark, f"{tmp_path}/c", schema).count() == 2
+    files.write_rules(rows, f"{tmp_path}/rules", papers)
+    assert spark.read.json(f"{tmp_path}/rules/records").count() == 2 and spark.read.json(f"{tmp_path}/rules/schemas").count() == 4
+
+
+def test_cache_by_version(spark, tmp_path):
+    """Only what a version has not seen is extracted."""
+    rows, seen = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "doc int, text string"), []
+
+    def extract(df):
+        seen.append(sorted(r["doc"] for r in df.collect()))
+        return df.select("doc", F.upper("text").alias("found"))
+
+    run = lambda df, version: files.cached(df, "doc", version, f"{tmp_path}/ledger", extract, "doc int, found string").count()
+    assert [run(rows.where("doc < 2"), "1"), run(rows, "1"), run(rows, "2")] == [2, 4, 4] and seen == [[0, 1], [2, 3], [0, 1, 2, 3]]

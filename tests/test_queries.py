@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import paperlake.queries_papers  # noqa: F401  registers its queries
 from paperlake.queries import ORACLE, QUERIES
 
 
