@@ -62,13 +62,12 @@ def winnow_one(text, k=winnow.K, w=winnow.W):
     h = [spark_hash([t.encode()]) for t in re.findall(r"\S{1,12}", (text or "").lower())]
     if not h:
         return []
-    h = [x % winnow.PRIME for x in h]
 
     def value(part):
         total = 0
         for x in part:
-            total = total * winnow.BASE + x
-        return total % winnow.PRIME
+            total = total << 1 ^ x & (1 << 64) - 1
+        return (total & (1 << 64) - 1) >> 33
 
     top = [value(h)] if len(h) < k else [value(h[i : i + k]) for i in range(len(h) - k + 1)]
     picks = []
