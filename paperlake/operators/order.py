@@ -1,4 +1,4 @@
-"""Order over whole tables without bringing them to one task, and tables written between the steps of a loop."""
+"""Order over whole tables without bringing them to one task, tables written between the steps of a loop, and small inputs dealt to all cores."""
 
 from __future__ import annotations
 
@@ -23,6 +23,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` dealt to all cores where its input is small and comes in fewer splits than there are cores, as one file of one row group does.
+
+    An input of more than ``split_bytes`` for each core stays as it is, and so does one that has splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < cores * split_bytes and df.select(F.spark_partition_id()).distinct().count() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to the path to its end; an error in finding out is not taken for an answer."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

@@ -21,6 +21,7 @@ from paperlake.operators import gaps as G
 from paperlake.operators import materialize as M
 from paperlake.operators import search as S
 from paperlake.operators import tables as TB
+from paperlake.operators.order import spread
 from paperlake.registry import factor_table, header_registry, spec_table, specs
 from paperlake.streaming import breaker, event_counts
 
@@ -465,7 +466,7 @@ def formula_counts(spark, d):
 
 @query("""SELECT l_orderkey::VARCHAR AS doi, 'Bi' || l_partkey || 'Te' AS material_raw, 'BiTe' AS material_family, 'thermoelectric:electrical_conductivity' AS property_key, l_quantity * 100 AS value, 'S/m' AS unit, l_linenumber + 273.15 AS temp_K FROM lineitem WHERE l_quantity <> 0""")
 def property_rows(spark, d):
-    line = read(spark, d, "lineitem")
+    line = spread(read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber"))
     entry = F.create_map(F.lit("σ_value"), F.col("l_quantity").cast("string"), F.lit("σ_unit"), F.lit("S/cm"), F.lit("σ_Temperature"), F.col("l_linenumber").cast("string"), F.lit("σ_Temp_unit"), F.lit("°C"))
     mats = line.select(F.col("l_orderkey").cast("string").alias("doi"), F.concat(F.lit("Bi"), "l_partkey", F.lit("Te")).alias("name"), F.create_map(F.lit("electrical_conductivity"), F.array(entry)).alias("fields"))
     return M.property_rows(mats, specs(("thermoelectric",))).select("doi", "material_raw", "material_family", "property_key", "value", "unit", "temp_K")
