@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import cut, numbered
+from paperlake.llm.common import cut
+from paperlake.operators.order import places
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
@@ -34,8 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
     ``repeats`` times its source's size, it stops there and the level rises for the others by what it leaves. Each round is one row of sums, and a source that
     has stopped stays so, so the rounds end.
     """
-    df = numbered(sizes, "place", F.col("source").isNull(), F.col("source"))
-    df = df.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod("place", F.lit(len(weights))).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * repeats)
+    df = places(sizes, "place", F.col("source").isNull(), F.col("source"))
+    df = df.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * repeats)
     df = cut(df.select("source", "source_size", "weight", "cap"))
     total, level, stopped = df.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
     while True:
