@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm import decontam, linededup, minhash, mixing, quality
-from paperlake.llm.common import cut, read, shared_dir, spread
+from paperlake.llm.common import cut, read, shared_dir
+from paperlake.operators.order import spread
 
 QUALITY_THRESHOLD = 0.3
 NEAR_PERCENT = 80
@@ -87,7 +88,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: The classifier and the knapsack have no SQL form; tests hold run() against brute-force versions of the stages.
+#: The classifier and the knapsack have no SQL form; tests hold the operators against brute force, and the stages against cases of their edges.
 ORACLE_SQL = None
 
 
