@@ -20,10 +20,11 @@ def memory_search(records: DataFrame, query: str, k: int = 20) -> DataFrame:
     """The k best records (doi, title, batch, materials array, year, has_structured) by score, then the earlier year.
 
     An exact DOI counts 100, each term 3 in the title, 2 in the batch name and 4 in a material's name; a structured record gets 5 more, even without a hit.
+    Parts of a DOI are no terms: the number of its registrant stands in many a title by chance.
     The query's terms become one expression, so records stream through a scan and a top-k.
     """
     dois = [d.lower().rstrip(".") for d in re.findall(r"10\.\d{4,9}/[\w.\-]+", query or "", re.I)]
-    words = X.query_keywords(query)
+    words = X.query_keywords(re.sub(r"10\.\d{4,9}/[a-z0-9_.\-]+", " ", query or "", flags=re.I))
     fold = lambda c: X.title_fold(c, keep_cjk=True)
     materials = F.aggregate(F.transform(F.coalesce("materials", F.array().cast("array<string>")), lambda m: _hits(F.regexp_replace(F.lower(m), f"[^a-z0-9{X.CJK}]+", ""), words)), F.lit(0), lambda a, x: a + x)
     score = F.when(X.doi_memory(F.col("doi")).isin(*dois), 100).otherwise(0) if dois else F.lit(0)

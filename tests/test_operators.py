@@ -234,6 +234,13 @@ def test_search(spark):
     assert S.snowball(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int"), spark.createDataFrame([(1,)], "node int"), 5).count() == 3
 
 
+def test_search_by_doi_and_terms(spark):
+    """The number of a DOI's registrant is no term."""
+    rec = spark.createDataFrame([("10.1234/d7", "a", "b", [], 2000, False), ("10.1234/d8", "call 555 1234", "1234", ["1234"], 2000, False), ("10.1234/d9", "energy", "b", [], 2000, False)], "doi string, title string, batch string, materials array<string>, year int, has_structured boolean")
+    assert [(r["doi"], r["score"]) for r in S.memory_search(rec, "energy 10.1234/d7").collect()] == [("10.1234/d7", 100), ("10.1234/d9", 3)]
+    assert [r["doi"] for r in S.memory_search(rec.withColumn("title", F.lit("滤波器")).limit(1), "10.1234/x滤波器").collect()] == ["10.1234/d7"]
+
+
 def test_evaluation(spark):
     g = spark.createDataFrame([("A", "p", "1", "u")], "material string, property string, value string, unit string")
     got = {r["level"]: r["f1"] for r in E.extraction_metrics(g, g.withColumn("value", F.lit("2"))).collect()}
