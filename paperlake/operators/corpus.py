@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,43 +57,179 @@ def deduplicate_seen(papers: DataFrame, seen: DataFrame, ord_column: str = "ord"
     return keyed.join(first, ["_key", ord_column]).withColumnRenamed("_key", "key")
 
 
-def near_titles(a: str, b: str, threshold: float = NEAR_TITLE) -> bool:
-    """Ratcliff-Obershelp likeness of folded titles of at least 24 characters; lengths and letters rule most pairs out first."""
-    if min(len(a), len(b)) < NEAR_LENGTH:
-        return False
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+def longest_block(a: str, b: str) -> tuple[int, int, int]:
+    """Where the longest block of two texts starts in each, and its length; the earliest in a, then in b, as difflib takes it."""
+    if len(a) * len(b) <= 20_000:
+        return tuple(SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
+    step, link, size, end = [{}], [-1], [0], [0]  # suffix automaton of b; end is where a state's texts end first
+    last = 0
+    for j, ch in enumerate(b, 1):
+        new = len(size)
+        step.append({}), link.append(0), size.append(j), end.append(j)
+        p, last = last, new
+        while p >= 0 and ch not in step[p]:
+            step[p][ch] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][ch]
+            if size[q] == size[p] + 1:
+                link[new] = q
+            else:
+                copy = len(size)
+                step.append(step[q].copy()), link.append(link[q]), size.append(size[p] + 1), end.append(end[q])
+                link[new] = link[q] = copy
+                while p >= 0 and step[p].get(ch) == q:
+                    step[p][ch] = copy
+                    p = link[p]
+    state = n = best = i_end = j_end = 0
+    for i, ch in enumerate(a, 1):
+        while state and ch not in step[state]:
+            state = link[state]
+            n = size[state]
+        if ch in step[state]:
+            state = step[state][ch]
+            n += 1
+            if n > best:
+                best, i_end, j_end = n, i, end[state]
+    return i_end - best, j_end - best, best
+
+
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a column of it in the bits of one number."""
+    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    stop = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - stop], b[: len(b) - stop]
+    at: dict[str, int] = {}
+    for ch in set(a) & set(b):
+        at[ch] = int("".join("1" if x == ch else "0" for x in reversed(a)), 2)
+    full = (1 << len(a)) - 1
+    free = full
+    for ch in b:
+        if m := at.get(ch):
+            u = free & m
+            free = ((free + u) | (free - u)) & full
+    return start + stop + len(a) - free.bit_count()
 
 
-def near_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None, n: int = 3) -> DataFrame:
-    """a and b (ord of the earlier and the later one) of all near titles, by a prefix filter on n-grams and the exact likeness.
+def near_titles(a: str, b: str, threshold: float = NEAR_TITLE) -> bool:
+    """Ratcliff-Obershelp likeness of folded titles of at least 24 characters.
 
-    Two near titles of s letters together have M >= threshold * s / 2 letters in common blocks, at most s - 2M + 1 blocks, and so at least
-    M - (n - 1) * (s - 2M + 1) common n-grams. A title's rarest n-grams, one more than it can lack, therefore hold one that the other's rarest hold too, and only those
-    are joined. Equal n-grams of one title are told apart by their number.
+    Lengths, letters and the longest common subsequence rule most pairs out; of the others as many blocks are taken, as difflib takes them, as decide.
+    """
+    both = len(a) + len(b)
+    if min(len(a), len(b)) < NEAR_LENGTH:
+        return False
+    like = lambda m: 2.0 * m / both >= threshold
+    if not (like(min(len(a), len(b))) and SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= threshold and like(common_letters(a, b))):
+        return False
+    found, may, open_ = 0, min(len(a), len(b)), [(a, b)]  # characters in blocks, and those that can still come to lie in them
+    while not like(found):
+        if not open_ or not like(found + may):
+            return False
+        x, y = open_.pop(max(range(len(open_)), key=lambda k: len(open_[k][0])))
+        i, j, n = longest_block(x, y)
+        may -= min(len(x), len(y))
+        found += n
+        for rest in ((x[:i], y[:j]), (x[i + n :], y[j + n :])) if n else ():
+            if rest[0] and rest[1]:
+                open_.append(rest)
+                may += min(len(rest[0]), len(rest[1]))
+    return True
+
+
+def slot_length(threshold: float) -> int:
+    """The most characters of a slot of which a title has more than the letters that a near one can change."""
+    fits = [q for q in range(1, 9) if all(n // q > int(2 * (1 - threshold) * n + 1e-9) for n in range(NEAR_LENGTH, 4000))]
+    if not fits:
+        raise ValueError(f"no filter for a likeness of {threshold}")
+    return fits[-1]
+
+
+def title_grams(titles: DataFrame, n: int, step: int, within: list[str]) -> DataFrame:
+    """ord, len, c (class of length), p and g: a hash of the n letters from p on, for every step-th p, and of the ``within`` columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, rows = [], 0
+        for pdf in batches:
+            for o, t, w in zip(pdf["ord"], pdf["title_key"], pdf["w"], strict=True):
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                g = np.full(len(codes) - n + 1, np.int64(w).astype(np.uint64))
+                for k in range(n):
+                    g = (g ^ codes[k : k + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+                    g ^= g >> np.uint64(29)
+                p = np.arange(0, len(g), step, dtype=np.int32)
+                parts.append((np.full(len(p), o), np.full(len(p), len(codes), np.int32), p, g[::step].view(np.int64) if step == 1 else g[::step].copy().view(np.int64)))
+                rows += len(p)
+                if rows > 500_000:
+                    yield pd.DataFrame(dict(zip(("ord", "len", "p", "g"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                    parts, rows = [], 0
+        if parts:
+            yield pd.DataFrame(dict(zip(("ord", "len", "p", "g"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    w = F.xxhash64(*within) if within else F.lit(0).cast("long")
+    return titles.where(F.length("title_key") >= NEAR_LENGTH).select(F.col("ord").cast("long"), "title_key", w.alias("w")).mapInPandas(run, "ord long, len int, p int, g long")
+
+
+def like_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:
+    """a and b (ord of the earlier and the later one) of all titles that can be near, near ones among them, found by slots.
+
+    Two near titles of s letters together have at most (1 - threshold) * s letters out of their common blocks, and a letter spoils one slot of the longer title at most. Of any
+    slots of it, more than it has such letters, the rest stand in the shorter one, moved by no more than the letters that either has too many.
+    The rarest slots are taken, some more for long titles, which need as many more then.
     """
     within = within or []
-    shortest = threshold / (2 - threshold)  # the shorter of two near titles, as a share of the longer
-    least = (threshold / 2 - (n - 1) * (1 - threshold)) * (1 + shortest)
-    gram = F.transform(F.sequence(F.lit(1), F.length("title_key") - (n - 1)), lambda i: F.struct(F.substring("title_key", i, F.lit(n)).alias("g"), i.alias("i")))
-    grams = titles.where(F.length("title_key") >= NEAR_LENGTH).select("ord", *within, F.length("title_key").alias("len"), F.explode(gram).alias("x"))
-    grams = grams.select("ord", *within, "len", F.col("x.g").alias("g"), F.row_number().over(Window.partitionBy("ord", "x.g").orderBy("x.i")).alias("k"))
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "g", "k"))
-    lacking = F.col("len") - (n - 1) - F.ceil(F.col("len") * least - (n - 1) - 1e-9)
-    rare = written(grams.join(counts, "g").withColumn("rank", rank).where(F.col("rank") <= lacking + 1).select("ord", *within, "len", "g", "k"))
-    other = rare.select(*(F.col(c).alias(f"_{c}") for c in rare.columns))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*within, "g", "k"]]
-    fits = (F.col("ord") < F.col("_ord")) & (F.least("len", "_len") >= F.lit(shortest - 1e-9) * F.greatest("len", "_len"))
-    pairs = rare.join(other, [*same, fits]).select(F.col("ord").alias("a"), F.col("_ord").alias("b")).distinct()
-    text = titles.select(F.col("ord").alias("_o"), "title_key")
-    pairs = pairs.join(text.withColumnRenamed("title_key", "x"), F.col("a") == F.col("_o")).drop("_o").join(text.withColumnRenamed("title_key", "y"), F.col("b") == F.col("_o")).drop("_o")
+    q, shortest = slot_length(threshold), threshold / (2 - threshold)  # the shorter of two near titles, as a share of the longer
+    spoilt = F.floor(F.col("len") * (2 * (1 - threshold)) + 1e-9)
+    length_class = F.floor(F.ln("len") / math.log(1.01 / shortest)).cast("int")  # near ones are one class apart at most
+    slots = written(title_grams(titles, q, q, within).where(F.col("p") + q <= F.col("len")))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "g", "p"))
+    rare = slots.join(slots.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").withColumn("rank", rank)
+    taken = F.least(spoilt + 1 + F.floor(F.col("len") / 50), F.floor(F.col("len") / q))
+    rare = rare.where(F.col("rank") <= taken).select(F.col("ord").alias("x"), F.col("len").alias("xl"), F.col("p").alias("xp"), "g", F.explode(F.array(length_class, length_class - 1)).alias("c"), (taken - spoilt).alias("need"))
+    matched = F.ceil((F.col("xl") + F.col("len")) * (threshold / 2) - 1e-9)
+    longer = (F.col("xl") > F.col("len")) | ((F.col("xl") == F.col("len")) & (F.col("x") < F.col("ord")))
+    moved = (F.col("p") - F.col("xp")).between(matched - F.col("xl"), F.col("len") - matched)
+    hits = title_grams(titles, q, 1, within).withColumn("c", length_class).join(rare, ["g", "c"]).where(longer & (F.col("len") >= F.lit(shortest - 1e-9) * F.col("xl")) & moved)
+    pairs = hits.groupBy("x", "ord", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
+    return pairs.select(F.least("x", "ord").alias("a"), F.greatest("x", "ord").alias("b"))
+
+
+def near_of(pairs: DataFrame, titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:
+    """Those of the pairs whose titles are near."""
+    within = within or []
+    side = lambda o, t: titles.select(F.col("ord").alias(o), F.col("title_key").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in within))
+    texts = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    for c in within:
+        texts = texts.where(F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.loc[[near_titles(y, x, threshold) for x, y in zip(pdf.x, pdf.y, strict=True)], ["a", "b"]]
 
-    return pairs.mapInPandas(verify, "a long, b long")
+    cores = titles.sparkSession.sparkContext.defaultParallelism
+    return texts.select("a", "b", "x", "y").repartition(4 * cores).mapInPandas(verify, "a long, b long")
+
+
+def near_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:
+    """a and b (ord of the earlier and the later one) of near titles: all that an election in order needs.
+
+    Pairs with a title that no open earlier one can be near to are compared first: it leads. Then pairs of followers need no comparison, but with earlier ones than
+    the leader found. What is left after some rounds, or is little, is compared as a whole.
+    """
+    open_, near = written(like_pairs(titles, threshold, within)), []
+    few = 4 * titles.count()
+    for _ in range(6):
+        if open_.count() <= few:
+            break
+        first = written(open_.select(F.col("a").alias("o")).distinct().join(open_.select(F.col("b").alias("o")).distinct(), "o", "left_anti"))
+        found = written(near_of(open_.join(first, F.col("a") == F.col("o"), "left_semi"), titles, threshold, within))
+        near.append(found)
+        led = found.groupBy(F.col("b").alias("o")).agg(F.min("a").alias("led"))
+        rest = open_.join(first, F.col("a") == F.col("o"), "left_anti").join(led, F.col("a") == F.col("o"), "left_anti")
+        open_ = written(rest.join(led, F.col("b") == F.col("o"), "left").where("led IS NULL OR a < led").select("a", "b"))
+    near.append(near_of(open_, titles, threshold, within))
+    return reduce(DataFrame.unionByName, near)
 
 
 def fuzzy_titles(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[str] | None = None) -> DataFrame:

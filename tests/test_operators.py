@@ -110,6 +110,44 @@ def test_fuzzy_chains(spark):
     assert C.fuzzy_titles(spark.createDataFrame([], "ord long, title_key string")).count() == 0
 
 
+def test_fuzzy_compares_few(spark):
+    """Titles of the same syllables and equal length, and a group of near copies: no near pair is lost, few others are compared."""
+    rng = random.Random(5)
+    title = lambda n: "".join(rng.choice(("the", "and", "ing", "er", "on", "th", "in", "re", "ha", "at", "ti", "ed")) for _ in range(n))
+    titles = [title(rng.randint(60, 64)) for _ in range(250)] + [title(9)[:24] for _ in range(20)]
+    first = title(70)
+    titles += [first] + [first[:i] + rng.choice("xyz") + first[i + rng.randint(0, 1) :] for i in range(0, 120, 3)]
+    df = spark.createDataFrame(list(enumerate(titles)), "ord long, title_key string")
+    near = {(i, j) for j, y in enumerate(titles) for i, x in enumerate(titles[:j]) if C.near_titles(y, x)}
+    like = {tuple(r) for r in C.like_pairs(df).collect()}
+    assert len(near) >= 820 and near <= like and len(like) < 2 * len(near)
+    assert {tuple(r) for r in C.near_pairs(df).collect()} <= near
+    assert {r["ord"]: r["leader"] for r in C.fuzzy_titles(df).collect()} == elected(list(enumerate(titles)))
+
+
+def test_near_as_difflib():
+    """Against difflib over short alphabets, and long titles in time."""
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    for n in range(600):
+        letters = rng.choice(("ab", "abcd", "abcdefghijklmnop"))
+        a = [rng.choice(letters) for _ in range(rng.choice((24, 80, 300)))]
+        b = a[:]
+        for _ in range(rng.randint(0, len(a) // 8)):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 1)
+        a, b = "".join(a), "".join(b)
+        assert C.near_titles(a, b) == (min(len(a), len(b)) >= 24 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.94)
+        assert C.longest_block(a, b) == tuple(SequenceMatcher(None, a, b, autojunk=False).find_longest_match())
+    a = "".join(rng.choice("abcd") for _ in range(12_000))
+    b = "".join("x" if i % 40 == 0 else ch for i, ch in enumerate(a))
+    start = time.time()
+    assert C.near_titles(a, b) and not C.near_titles(a, "".join(rng.choice("abcd") for _ in range(12_000)))
+    assert time.time() - start < 15
+
+
 def test_fuzzy(spark):
     base = "thermoelectricpropertiesofbismuthtelluride"
     rows = [(0, base), (1, base + "s"), (2, "short"), (3, "completelydifferenttitleaboutpiezoceramics"), (4, base)]
