@@ -138,6 +138,14 @@ def near_titles(a: str, b: str, threshold: float = NEAR_TITLE) -> bool:
     return True
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and sorted and never sent whole through the driver.
+
+    Spark takes a title's many grams for one row, and a packed file's bytes for those of its rows, so what it finds below its threshold can be of any size.
+    """
+    return df.hint("merge")
+
+
 def slot_length(threshold: float) -> int:
     """The most characters of a slot of which a title has more than the letters that a near one can change."""
     fits = [q for q in range(1, 9) if all(n // q > int(2 * (1 - threshold) * n + 1e-9) for n in range(NEAR_LENGTH, 4000))]
@@ -184,13 +192,13 @@ def like_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[st
     length_class = F.floor(F.ln("len") / math.log(1.01 / shortest)).cast("int")  # near ones are one class apart at most
     slots = written(title_grams(titles, q, q, within).where(F.col("p") + q <= F.col("len")))
     rank = F.row_number().over(Window.partitionBy("ord").orderBy("df", "g", "p"))
-    rare = slots.join(slots.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").withColumn("rank", rank)
+    rare = slots.join(sent(slots.groupBy("g").agg(F.count(F.lit(1)).alias("df"))), "g").withColumn("rank", rank)
     taken = F.least(spoilt + 1 + F.floor(F.col("len") / 50), F.floor(F.col("len") / q))
     rare = rare.where(F.col("rank") <= taken).select(F.col("ord").alias("x"), F.col("len").alias("xl"), F.col("p").alias("xp"), "g", F.explode(F.array(length_class, length_class - 1)).alias("c"), (taken - spoilt).alias("need"))
     matched = F.ceil((F.col("xl") + F.col("len")) * (threshold / 2) - 1e-9)
     longer = (F.col("xl") > F.col("len")) | ((F.col("xl") == F.col("len")) & (F.col("x") < F.col("ord")))
     moved = (F.col("p") - F.col("xp")).between(matched - F.col("xl"), F.col("len") - matched)
-    hits = title_grams(titles, q, 1, within).withColumn("c", length_class).join(rare, ["g", "c"]).where(longer & (F.col("len") >= F.lit(shortest - 1e-9) * F.col("xl")) & moved)
+    hits = title_grams(titles, q, 1, within).withColumn("c", length_class).join(sent(rare), ["g", "c"]).where(longer & (F.col("len") >= F.lit(shortest - 1e-9) * F.col("xl")) & moved)
     pairs = hits.groupBy("x", "ord", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
     return pairs.select(F.least("x", "ord").alias("a"), F.greatest("x", "ord").alias("b"))
 
@@ -199,7 +207,7 @@ def near_of(pairs: DataFrame, titles: DataFrame, threshold: float = NEAR_TITLE,
     """Those of the pairs whose titles are near."""
     within = within or []
     side = lambda o, t: titles.select(F.col("ord").alias(o), F.col("title_key").alias(t), *(F.col(c).alias(f"{t}_{c}") for c in within))
-    texts = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    texts = pairs.join(sent(side("a", "x")), "a").join(sent(side("b", "y")), "b")
     for c in within:
         texts = texts.where(F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")))
 
@@ -222,11 +230,11 @@ def near_pairs(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[st
     for _ in range(6):
         if open_.count() <= few:
             break
-        first = written(open_.select(F.col("a").alias("o")).distinct().join(open_.select(F.col("b").alias("o")).distinct(), "o", "left_anti"))
-        found = written(near_of(open_.join(first, F.col("a") == F.col("o"), "left_semi"), titles, threshold, within))
+        first = written(open_.select(F.col("a").alias("o")).distinct().join(sent(open_.select(F.col("b").alias("o")).distinct()), "o", "left_anti"))
+        found = written(near_of(open_.join(sent(first), F.col("a") == F.col("o"), "left_semi"), titles, threshold, within))
         near.append(found)
-        led = found.groupBy(F.col("b").alias("o")).agg(F.min("a").alias("led"))
-        rest = open_.join(first, F.col("a") == F.col("o"), "left_anti").join(led, F.col("a") == F.col("o"), "left_anti")
+        led = sent(found.groupBy(F.col("b").alias("o")).agg(F.min("a").alias("led")))
+        rest = open_.join(sent(first), F.col("a") == F.col("o"), "left_anti").join(led, F.col("a") == F.col("o"), "left_anti")
         open_ = written(rest.join(led, F.col("b") == F.col("o"), "left").where("led IS NULL OR a < led").select("a", "b"))
     near.append(near_of(open_, titles, threshold, within))
     return reduce(DataFrame.unionByName, near)
@@ -241,16 +249,16 @@ def fuzzy_titles(titles: DataFrame, threshold: float = NEAR_TITLE, within: list[
     keyed = written(titles.where("coalesce(title_key, '') <> ''").groupBy("title_key", *(within or [])).agg(F.min("ord").alias("ord")))
     pairs = written(near_pairs(keyed, threshold, within))
     open_ = written(pairs.select(F.col("b").alias("o")).distinct())  # a title that no earlier one is near to leads
-    leads = written(pairs.select(F.col("a").alias("o")).distinct().join(open_, "o", "left_anti"))
+    leads = written(pairs.select(F.col("a").alias("o")).distinct().join(sent(open_), "o", "left_anti"))
     followers = written(open_.limit(0))
     while not open_.isEmpty():
-        led = pairs.join(leads, F.col("a") == F.col("o"), "left_semi").select(F.col("b").alias("o")).distinct().join(open_, "o", "left_semi")
+        led = pairs.join(sent(leads), F.col("a") == F.col("o"), "left_semi").select(F.col("b").alias("o")).distinct().join(sent(open_), "o", "left_semi")
         followers = written(followers.unionByName(led))
-        rest = written(open_.join(followers, "o", "left_anti"))
-        waits = pairs.join(rest.withColumnRenamed("o", "a"), "a", "left_semi").select(F.col("b").alias("o")).distinct()
-        leads = written(rest.join(waits, "o", "left_anti"))  # earlier leaders have been heard, only the new ones count in the next round
-        open_ = written(rest.join(leads, "o", "left_anti"))
-    first = pairs.join(followers, F.col("a") == F.col("o"), "left_anti").groupBy("b").agg(F.min("a").alias("leader"))
+        rest = written(open_.join(sent(followers), "o", "left_anti"))
+        waits = pairs.join(sent(rest.withColumnRenamed("o", "a")), "a", "left_semi").select(F.col("b").alias("o")).distinct()
+        leads = written(rest.join(sent(waits), "o", "left_anti"))  # earlier leaders have been heard, only the new ones count in the next round
+        open_ = written(rest.join(sent(leads), "o", "left_anti"))
+    first = sent(pairs.join(sent(followers), F.col("a") == F.col("o"), "left_anti").groupBy("b").agg(F.min("a").alias("leader")))
     return keyed.join(first, F.col("ord") == F.col("b"), "left").select("ord", "title_key", F.coalesce("leader", "ord").alias("leader"))
 
 

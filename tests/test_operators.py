@@ -125,6 +125,26 @@ def test_fuzzy_compares_few(spark):
     assert {r["ord"]: r["leader"] for r in C.fuzzy_titles(df).collect()} == elected(list(enumerate(titles)))
 
 
+def test_fuzzy_sends_no_table_whole(spark, monkeypatch):
+    """A packed file of long titles is far below Spark's threshold, its grams are not: the driver gets none of the tables that grow."""
+    plans, write = [], C.written
+
+    def seen(df):
+        df.collect()  # then the plan is the one that ran
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(C, "written", seen)
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(12)]
+    titles = long + [t + "x" for t in long]
+    got = C.fuzzy_titles(spark.createDataFrame(list(enumerate(titles)), "ord long, title_key string"))
+    assert {r["ord"]: r["leader"] for r in got.collect()} == {i: i % 12 for i in range(24)}
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 8 and all("isFinalPlan=true" in p for p in plans if "Exchange" in p)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_near_as_difflib():
     """Against difflib over short alphabets, and long titles in time."""
     import time
